@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_GROUPS = ("views",)
+_GROUPS = ("views", "documents", "jobs")
 
 
 def load():

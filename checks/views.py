@@ -196,7 +196,7 @@ def _(t, spark, folder):
 
 
 TOKEN_RULE = """
-    list_distinct(list_transform(list_filter(string_split_regex(lower(strip_accents({0})), '[^a-z0-9]+'), x -> x<>''), w -> w||'/{1}'))"""
+    list_distinct([w||'/{1}' for w in string_split_regex(lower(strip_accents({0})), '[^a-z0-9]+') if w<>''])"""
 
 
 def token_list(*weighted):

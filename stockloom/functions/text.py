@@ -29,11 +29,11 @@ def words(text: Column) -> Column:
 
 def search_tokens(*weighted: tuple[str, Column]) -> Column:
     """distinct (token, weight) pairs of several texts, each with its weight letter."""
-    tagged = [
-        F.transform(F.array_distinct(words(text)), lambda w, weight=weight: F.struct(w.alias("token"), F.lit(weight).alias("weight")))
-        for weight, text in weighted
-    ]
-    return F.array_distinct(F.concat(*tagged))
+
+    def tagged(weight, text):
+        return F.transform(F.array_distinct(words(text)), lambda w: F.struct(w.alias("token"), F.lit(weight).alias("weight")))
+
+    return F.array_distinct(F.concat(*[tagged(weight, text) for weight, text in weighted]))
 
 
 def trigrams(text: Column) -> Column:
