@@ -67,8 +67,11 @@ NEW_SHIPMENTS = """
 
 
 @query("b01_create_shipments", """
-    select id, case when seq%10=9 then 'UNIQUE_VIOLATION' when carrier_id='9' then 'FOREIGN_KEY_VIOLATION' else 'created' end outcome from {new_shipments}
-    where not (seq%10=8 and false)""", new_shipments=NEW_SHIPMENTS)
+    with judged as (select *, carrier_id is not distinct from '9' bad from {new_shipments}),
+    ordered as (select *, row_number() over (partition by id, bad order by seq) rn from judged)
+    select id, 'created' outcome from ordered where not bad and rn=1
+    union all select id, min(case when bad then 'FOREIGN_KEY_VIOLATION' else 'UNIQUE_VIOLATION' end) from ordered where bad or rn>1 group by id""",
+    new_shipments=NEW_SHIPMENTS)
 def _(t, spark, folder):
     done = intake.create_headers(TextTables(t), "shipment", asked(spark, t, folder, NEW_SHIPMENTS), RUN)
     return outcomes(done.inserts["shipment"], "created", done.rejects)

@@ -42,8 +42,11 @@ def staged_result(result: JobResult, label: str) -> JobResult:
 
 
 def classified(df: DataFrame, request: str, code: Column) -> tuple[DataFrame, DataFrame]:
-    """Split on ``code``: rows where it is null go on; the others become rejects."""
-    marked = df.withColumn("_code", code)
+    """Split on ``code``: rows where it is null go on; the others become rejects.
+
+    The judged rows are written once, as both halves and all later steps start from them.
+    """
+    marked = staged(df.withColumn("_code", code), "judged")
     rejects = marked.filter(F.col("_code").isNotNull()).select(F.col(request).cast("string").alias("request_id"), F.col("_code").alias("reject_code"))
     return marked.filter(F.col("_code").isNull()).drop("_code"), rejects
 
@@ -64,6 +67,15 @@ def without(df: DataFrame, request: str, rejects: DataFrame) -> DataFrame:
     return df.join(ids, F.col(request).cast("string") == F.col("_rejected"), "left_anti")
 
 
+def already_stored(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The distinct values of ``key`` in ``rows`` that ``stored`` holds too.
+
+    The stored table is the large side: it is filtered by the keys at hand, which are broadcast
+    while they are few, so it is not shuffled for a small batch.
+    """
+    return stored.select(key).join(rows.select(key), key, "left_semi").distinct()
+
+
 def repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], request: str) -> DataFrame:
     """Requests that repeat a key already taken by an earlier one; null keys are exempt.
 

@@ -66,8 +66,8 @@ def foreign_keys(t: Tables, table: str, rows: DataFrame | None = None) -> DataFr
     return reduce(DataFrame.unionByName, checks) if checks else None
 
 
-def row_rules(df: DataFrame, table: str) -> DataFrame:
-    """Q7, Q8: every rule that one row alone can break, found in a single pass."""
+def _broken_rules(df: DataFrame, table: str) -> list[Column]:
+    """One (rule, code) struct per rule that a single row can break; null where the row keeps it."""
     failed: list[Column] = []
 
     def rule(name, code, broken):
@@ -84,10 +84,36 @@ def row_rules(df: DataFrame, table: str) -> DataFrame:
     for owner, name, condition in CHECKS:
         if owner == table:
             rule(f"check:{name}", "CHECK_VIOLATION", ~F.expr(condition))
-    found = df.select("id", F.explode(F.filter(F.array(*failed), lambda x: x.isNotNull())).alias("_v"))
+    return failed
+
+
+def row_rules(df: DataFrame, table: str) -> DataFrame:
+    """Q7, Q8: every rule that one row alone can break, found in a single pass."""
+    found = df.select("id", F.explode(F.filter(F.array(*_broken_rules(df, table)), lambda x: x.isNotNull())).alias("_v"))
     return _violation(found, table, F.col("_v.rule"), F.col("id"), F.col("_v.code"))
 
 
+def with_orphan_flag(t: Tables, table: str, rows: DataFrame, into: str = "_orphan") -> DataFrame:
+    """Add ``into``: whether any reference of the row lacks its parent. Rows are neither lost nor repeated."""
+    orphan = F.lit(False)
+    for reference in REFERENCES:
+        if reference.child == table and reference.column in rows.columns:
+            flag = f"_has_{reference.column}"
+            parents = t[reference.parent].select(F.col("id").alias(reference.column), F.lit(True).alias(flag))
+            rows = rows.join(parents, reference.column, "left")
+            orphan = orphan | (F.col(reference.column).isNotNull() & F.col(flag).isNull())
+    return rows.withColumn(into, orphan).drop(*[c for c in rows.columns if c.startswith("_has_")])
+
+
+def insert_fault(t: Tables, table: str, rows: DataFrame, into: str = "_fault") -> DataFrame:
+    """Add ``into``: the code of the first rule that forbids inserting the row, or null."""
+    codes = F.transform(F.filter(F.array(*_broken_rules(rows, table)), lambda x: x.isNotNull()), lambda x: x["code"])
+    flagged = with_orphan_flag(t, table, rows)
+    return flagged.withColumn(
+        into, F.coalesce(F.array_min(codes), F.when(F.col("_orphan"), F.lit("FOREIGN_KEY_VIOLATION")))
+    ).drop("_orphan")
+
+
 def table_violations(t: Tables, table: str) -> DataFrame:
     """All declared rules of one table."""
     df = t[table]
@@ -161,18 +187,6 @@ def with_class(rejects: DataFrame) -> DataFrame:
     return rejects.withColumn("reject_class", chain.otherwise(F.lit("Infrastructure")))
 
 
-def split_rows(t: Tables, table: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that may be inserted into ``table``, and (id, reject_code) of those that may not."""
-    problems = row_rules(rows, table)
-    references = foreign_keys(t, table, rows)
-    if references is not None:
-        problems = problems.unionByName(references)
-    rejects = problems.groupBy(F.col("row_id")).agg(F.min("reject_code").alias("reject_code"))
-    keyed = rows.withColumn("_row_id", F.col("id").cast("string"))
-    accepted = keyed.join(rejects.select(F.col("row_id").alias("_row_id")), "_row_id", "left_anti").drop("_row_id")
-    return accepted, rejects.withColumnRenamed("row_id", "request_id")
-
-
 def holding(df: DataFrame) -> DataFrame:
     """Active reservations that still hold stock."""
     return active(df).filter(in_status("status", RESERVATION_HOLDING))

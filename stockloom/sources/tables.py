@@ -119,6 +119,12 @@ def with_defaults(df: DataFrame, table: str, run_ts: Column, user: Column | None
     return filled
 
 
+def completed(df: DataFrame, table: str) -> DataFrame:
+    """The row with every column of ``table``; those it does not have are null."""
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in SCHEMAS[table] if f.name not in df.columns}
+    return df.withColumns(missing).select(*SCHEMAS[table].names)
+
+
 def touched(df: DataFrame, changed: Column, run_ts: Column) -> DataFrame:
     """Set ``updated_at`` on rows where ``changed`` holds."""
     old = F.col("updated_at") if "updated_at" in df.columns else F.lit(None).cast("timestamp")
