@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_GROUPS = ("views", "documents", "jobs")
+_GROUPS = ("views", "documents", "jobs", "basics", "streams")
 
 
 def load():
