@@ -650,10 +650,10 @@ def _(t, spark, folder):
 
 
 @query("q08_all_tables_clean", """
-    select 'app_user' table_name, 'unique:lower(email)' rule, count(*) n from (select 1 from {app_user} group by lower(email) having count(*)>1) a
-    union all select 'inventory_tx', 'unique:move_key', count(*) from (select 1 from {inventory_tx} group by move_key having count(*)>1) b
-    union all select 'inventory_tx', 'foreign_key:product_id', nullif(count(*),0) from {inventory_tx} where product_id not in (select id from {product})
-    """.replace("nullif(count(*),0)", "count(*)"))
+    select 'app_user' table_name, 'unique:lower(email)' rule, count(*) n from (select 1 from {app_user} group by lower(email) having count(*)>1) a having count(*)>0
+    union all select 'inventory_tx', 'unique:move_key', count(*) from (select 1 from {inventory_tx} group by move_key having count(*)>1) b having count(*)>0
+    union all select 'supplier_return_line', 'foreign_key:receipt_line_id', count(*) from {supplier_return_line} where receipt_line_id not in (select id from {receipt_line}) having count(*)>0
+    union all select 'inventory_tx', 'foreign_key:product_id', count(*) from {inventory_tx} where product_id not in (select id from {product}) having count(*)>0""")
 def _(t, spark, folder):
     checked = ["app_user", "inventory_tx", "uom_conversion", "customer_return_line", "supplier_return_line", "bom_item"]
     found = quality.all_violations(t, checked)
