@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from stockloom.model import DEFAULTS, SCHEMAS
 
@@ -44,18 +47,16 @@ def tables_from_rows(spark: SparkSession, rows: Mapping[str, list[dict]]) -> Tab
     """Tables built from literal rows; a table without rows is empty. For small fixtures."""
 
     def build(name):
-        schema = SCHEMAS[name]
-        listed = [tuple(row.get(c, False if c == "is_deleted" else None) for c in schema.names) for row in rows.get(name, [])]
-        return spark.createDataFrame(listed, _all_nullable(schema))
+        schema = StructType([StructField(f.name, f.dataType, True) for f in SCHEMAS[name]])
+        listed = [{"is_deleted": False, **row} for row in rows.get(name, [])]
+        return local_rows(spark, listed, schema)
 
     return Tables(build)
 
 
-def _all_nullable(schema):
-    copy = type(schema)()
-    for field in schema:
-        copy.add(field.name, field.dataType, True)
-    return copy
+def local_rows(spark: SparkSession, rows: list[dict], schema: StructType) -> DataFrame:
+    """Rows as a local relation, whose size the optimizer knows."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema)
 
 
 def active(df: DataFrame) -> DataFrame:

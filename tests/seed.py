@@ -3,7 +3,9 @@
 import datetime
 from decimal import Decimal
 
-from stockloom.sources.tables import tables_from_rows
+from pyspark.sql.types import StructType
+
+from stockloom.sources.tables import local_rows, tables_from_rows
 
 NOW = datetime.datetime(2024, 6, 1)
 USER, CUSTOMER, WAREHOUSE, BIN, UNIT = "user-1", "customer-1", "warehouse-1", "bin-1", "unit-ea"
@@ -42,7 +44,8 @@ def tables(spark, **more):
 
 
 def make(spark, schema, listed):
-    return spark.createDataFrame(listed, schema)
+    kind = StructType.fromDDL(schema)
+    return local_rows(spark, [dict(zip(kind.names, row)) for row in listed], kind)
 
 
 ORDER_SCHEMA = (

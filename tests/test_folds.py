@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 from stockloom.operators.admission import admit
 from stockloom.operators.overdraft import refused_withdrawals
+from tests.seed import make as _make
 from stockloom.operators.running import numeric_slice, ranks, running_totals, time_slice
 
+def make(spark, rows, schema):
+    return _make(spark, schema, rows)
+
+
 START = datetime.datetime(2024, 1, 1)
 
 
-@pytest.mark.parametrize("seed_, block_rows", [(1, 1_000_000), (2, 7), (3, 1)])
+@pytest.mark.parametrize("seed_, block_rows", [(1, 1_000_000), (2, 9), (3, 25)])
 def test_refused_withdrawals(spark, seed_, block_rows):
     rng = random.Random(seed_)
     moves, opening = [], {b: rng.randrange(0, 30) for b in range(6)}
-    for i in range(500):
+    for i in range(300):
         hot = 0 if rng.random() < 0.4 else rng.randrange(1, 6)
         moves.append((i, START + datetime.timedelta(hours=rng.randrange(200)), hot, Decimal(rng.choice([-9, -7, -4, -2, 3, 5, 8, 6]))))
     expected, balance = set(), dict(opening)
@@ -27,8 +32,8 @@ def test_refused_withdrawals(spark, seed_, block_rows):
             expected.add(i)
         else:
             balance[b] += delta
-    df = spark.createDataFrame(moves, "id bigint, ts timestamp, b int, delta decimal(18,3)").withColumn("bucket", F.struct("b", F.lit(None).cast("int").alias("x")))
-    stock = spark.createDataFrame([(b, Decimal(q)) for b, q in opening.items()], "b int, balance decimal(18,3)").select(
+    df = make(spark, moves, "id bigint, ts timestamp, b int, delta decimal(18,3)").withColumn("bucket", F.struct("b", F.lit(None).cast("int").alias("x")))
+    stock = make(spark, [(b, Decimal(q)) for b, q in opening.items()], "b int, balance decimal(18,3)").select(
         F.struct("b", F.lit(None).cast("int").alias("x")).alias("bucket"), "balance"
     )
     refused = refused_withdrawals(df.select("id", "ts", "bucket", "delta"), stock, ["ts", "id"], time_slice("ts", "day"), block_rows)
@@ -55,8 +60,8 @@ def test_admission_of_whole_requests(spark, seed_):
         else:
             refused.add(i)
     done = admit(
-        spark.createDataFrame(demands, "request bigint, seq bigint, kind string, resource string, need decimal(18,3)"),
-        spark.createDataFrame([(r, Decimal(q)) for r, q in capacity.items()], "resource string, available decimal(18,3)"),
+        make(spark, demands, "request bigint, seq bigint, kind string, resource string, need decimal(18,3)"),
+        make(spark, [(r, Decimal(q)) for r, q in capacity.items()], "resource string, available decimal(18,3)"),
         slice_width=10,
     )
     assert sorted(r["request"] for r in done.refused.collect()) == sorted(refused)
@@ -66,8 +71,8 @@ def test_admission_of_whole_requests(spark, seed_):
 def test_refused_request_uses_nothing(spark):
     demands = [(i, i, "k", "r", Decimal(q)) for i, q in enumerate([5, 8, 3, 2])]
     done = admit(
-        spark.createDataFrame(demands, "request bigint, seq bigint, kind string, resource string, need decimal(18,3)"),
-        spark.createDataFrame([("r", Decimal(10))], "resource string, available decimal(18,3)"),
+        make(spark, demands, "request bigint, seq bigint, kind string, resource string, need decimal(18,3)"),
+        make(spark, [("r", Decimal(10))], "resource string, available decimal(18,3)"),
     )
     assert [r["request"] for r in done.refused.collect()] == [1]
 
@@ -76,7 +81,7 @@ def test_refused_request_uses_nothing(spark):
 def test_running_totals_do_not_depend_on_slices(spark, width):
     rng = random.Random(5)
     rows = [(i, rng.choice("aaab"), rng.randrange(100), rng.randrange(-5, 9)) for i in range(300)]
-    df = spark.createDataFrame(rows, "id bigint, k string, o bigint, v bigint")
+    df = make(spark, rows, "id bigint, k string, o bigint, v bigint")
     got = running_totals(df, ["k"], ["o", "id"], numeric_slice("o", width), {"total": F.col("v")})
     sums, expected = {}, {}
     for i, k, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
