@@ -23,7 +23,7 @@ def running_totals(
 ) -> DataFrame:
     """Add one running total per entry of ``totals`` along ``order`` within ``keys``.
 
-    ``slice_by`` must not decrease along ``order``; the key columns may not be null (see
+    ``slice_by`` must not decrease along ``order``. Neither it nor the key columns may be null (see
     ``functions.keys.bucket`` for a null-free form of a bucket).
     """
     cut = df.withColumn("_slice", slice_by)
