@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from checks.documents import CHOSEN_PICKLIST, FIRST_RESERVATION, LATEST_SHIPMENT, requests_for_all, stored_documents
-from checks.jobs import RUN, asked
+from checks.jobs import run_time, asked
 from checks.registry import AS_OF, RUN_TS, doubles, query
 from checks.views import AVAILABLE, BUCKETS, CATALOG, HELD
 from stockloom.functions import keys, predicates, text, units
@@ -201,12 +201,12 @@ def _(t, spark, folder):
     select id, coalesce(nullif(status,'OPEN'),'OPEN') status, cast(0 as double) qty_picked, false is_deleted, timestamp'{RUN_TS}' created_at from {{reservation}}""")
 def _(t, spark, folder):
     bare = t["reservation"].select("id", F.when(F.col("status") != "OPEN", F.col("status")).alias("status"))
-    return doubles(tables.with_defaults(bare, "reservation", RUN), "qty_picked")
+    return doubles(tables.with_defaults(bare, "reservation", run_time()), "qty_picked")
 
 
 @query("p12_touch_changed", f"select id, case when status='DRAFT' then timestamp'{RUN_TS}' end updated_at from {{sales_order}}")
 def _(t, spark, folder):
-    return tables.touched(t["sales_order"], F.col("status") == "DRAFT", RUN).select("id", "updated_at")
+    return tables.touched(t["sales_order"], F.col("status") == "DRAFT", run_time()).select("id", "updated_at")
 
 
 @query("p13_lower_email", "select id, lower(email) email from {app_user}")
@@ -572,7 +572,7 @@ def _(t, spark, folder):
 @query("f16_document_dates", """select h.id _id, h.due_date "dueDate" from {sales_order} h join {customer} c on c.id=h.customer_id and not c.is_deleted where not h.is_deleted""")
 def _(t, spark, folder):
     rows = t["sales_order"].select("id", F.date_format("due_date", "yyyy-MM-dd'T'00:00:00'Z'").alias("due_text"))
-    docs = documents.to_document(documents.order_fulfillment_doc(t), requests_for_all(t), RUN).select("_id")
+    docs = documents.to_document(documents.order_fulfillment_doc(t), requests_for_all(t), run_time()).select("_id")
     return docs.join(rows.withColumnRenamed("id", "_id"), "_id").select("_id", F.to_date(F.substring("due_text", 1, 10)).alias("dueDate"))
 
 

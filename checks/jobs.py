@@ -9,7 +9,12 @@ from stockloom.model import BUCKET
 from stockloom.plans.jobs import fulfil, intake, ledger, picking, receiving, reserving, shipping
 from stockloom.sources.fixtures import placeholders, with_text_ids
 
-RUN = F.lit(RUN_TS).cast("timestamp")
+
+
+def run_time():
+    """The time every job is run at; a column, so it needs a session."""
+    return F.lit(RUN_TS).cast("timestamp")
+
 def asked(spark, t, folder, text):
     """Run a request derivation on Spark."""
     from stockloom.sources.fixtures import source
@@ -40,7 +45,7 @@ NEW_ORDERS = """
     select id, 'DRAFT' outcome from ordered where fault is null and rn=1 and id like 'N%'
     union all select id, min(fault) from ordered where fault is not null group by id""", new_orders=NEW_ORDERS)
 def _(t, spark, folder):
-    done = intake.create_headers(with_text_ids(t), "sales_order", asked(spark, t, folder, NEW_ORDERS), RUN)
+    done = intake.create_headers(with_text_ids(t), "sales_order", asked(spark, t, folder, NEW_ORDERS), run_time())
     return done.inserts["sales_order"].select("id", F.col("status").alias("outcome")).unionByName(
         done.rejects.select(F.col("request_id").alias("id"), F.col("reject_code").alias("outcome"))
     )
@@ -60,7 +65,7 @@ NEW_SHIPMENTS = """
     union all select id, min(case when bad then 'FOREIGN_KEY_VIOLATION' else 'UNIQUE_VIOLATION' end) from ordered where bad or rn>1 group by id""",
     new_shipments=NEW_SHIPMENTS)
 def _(t, spark, folder):
-    done = intake.create_headers(with_text_ids(t), "shipment", asked(spark, t, folder, NEW_SHIPMENTS), RUN)
+    done = intake.create_headers(with_text_ids(t), "shipment", asked(spark, t, folder, NEW_SHIPMENTS), run_time())
     return outcomes(done.inserts["shipment"], "created", done.rejects)
 
 
@@ -76,7 +81,7 @@ NEW_LINES = """
     where product_id<>'none'
     union all select id, null, 'FOREIGN_KEY_VIOLATION' from {new_lines} where product_id='none'""", new_lines=NEW_LINES)
 def _(t, spark, folder):
-    done = intake.add_numbered_lines(with_text_ids(t), "sales_order_line", asked(spark, t, folder, NEW_LINES), RUN)
+    done = intake.add_numbered_lines(with_text_ids(t), "sales_order_line", asked(spark, t, folder, NEW_LINES), run_time())
     return done.inserts["sales_order_line"].select("id", "line_no", F.lit("added").alias("outcome")).unionByName(
         done.rejects.select(F.col("request_id").alias("id"), F.lit(None).cast("int").alias("line_no"), F.col("reject_code").alias("outcome"))
     )
@@ -92,13 +97,13 @@ NEW_ITEMS = """
     select id, case when package_id='-1' then 'FOREIGN_KEY_VIOLATION' when qty is null then 'NOT_NULL_VIOLATION' else 'added' end outcome
     from {new_items}""", new_items=NEW_ITEMS)
 def _(t, spark, folder):
-    done = intake.add_lines(with_text_ids(t), "package_item", asked(spark, t, folder, NEW_ITEMS), RUN)
+    done = intake.add_lines(with_text_ids(t), "package_item", asked(spark, t, folder, NEW_ITEMS), run_time())
     return outcomes(done.inserts["package_item"], "added", done.rejects)
 
 
 @query("b04_approve", "select id, 'APPROVED' status from {sales_order} where id%3<>1 and status='DRAFT' and not is_deleted")
 def _(t, spark, folder):
-    return intake.approve(t, "sales_order", t["sales_order"].filter("id % 3 <> 1").select("id"), RUN).changes["sales_order"].select("id", "status")
+    return intake.approve(t, "sales_order", t["sales_order"].filter("id % 3 <> 1").select("id"), run_time()).changes["sales_order"].select("id", "status")
 
 
 # --- receiving ------------------------------------------------------------------------------------
@@ -132,7 +137,7 @@ RECEIVED = """
 
 
 def received(t, spark, folder):
-    return receiving.receive_goods(with_text_ids(t), asked(spark, t, folder, RECEIPTS), RUN)
+    return receiving.receive_goods(with_text_ids(t), asked(spark, t, folder, RECEIPTS), run_time())
 
 
 @query("b05_receive_goods", "select id, outcome from {received}", receipts=RECEIPTS, received=RECEIVED)
@@ -216,7 +221,7 @@ RESERVED = """
 
 @query("b06_reserve_stock", RESERVED, reserve=RESERVE, reserve_sound=RESERVE_SOUND, available_now=AVAILABLE_NOW)
 def _(t, spark, folder):
-    done = reserving.reserve_stock(with_text_ids(t), asked(spark, t, folder, RESERVE), RUN)
+    done = reserving.reserve_stock(with_text_ids(t), asked(spark, t, folder, RESERVE), run_time())
     return outcomes(done.inserts["reservation"], "reserved", done.rejects)
 
 
@@ -229,7 +234,7 @@ def _(t, spark, folder):
     where not r.is_deleted and r.status in ('OPEN','PICKED') and r.qty_reserved>r.qty_picked""")
 def _(t, spark, folder):
     text = "select concat('PL',cast(id as string)) id, cast(id as string) sales_order_id, cast(id%5 as string) warehouse_id from {sales_order}"
-    done = picking.create_picklists(with_text_ids(t), asked(spark, t, folder, text), RUN)
+    done = picking.create_picklists(with_text_ids(t), asked(spark, t, folder, text), run_time())
     return doubles(done.inserts["pick_item"].select("picklist_id", "reservation_id", "product_id", "qty_to_pick", "status"), "qty_to_pick")
 
 
@@ -272,7 +277,7 @@ CONFIRMED = dict(confirm=CONFIRM, confirm_sound=CONFIRM_SOUND, stock=STOCK, move
     select id, fault outcome from {confirm_sound} where fault is not null
     union all select id, case when ok then 'picked' else 'INSUFFICIENT_STOCK' end from {fold}""", **CONFIRMED)
 def _(t, spark, folder):
-    done = picking.confirm_picks(with_text_ids(t), asked(spark, t, folder, CONFIRM), RUN)
+    done = picking.confirm_picks(with_text_ids(t), asked(spark, t, folder, CONFIRM), run_time())
     return outcomes(done.inserts["inventory_tx"].withColumn("id", F.concat(F.lit("C"), "ref_id")), "picked", done.rejects)
 
 
@@ -289,7 +294,7 @@ def _(t, spark, folder):
       and k.id in (select picklist_id from item where qty is not null)
       and not exists (select 1 from item i where i.picklist_id=k.id and not i.is_deleted and coalesce(i.new_status, i.status)<>'PICKED')""", **CONFIRMED)
 def _(t, spark, folder):
-    done = picking.confirm_picks(with_text_ids(t), asked(spark, t, folder, CONFIRM), RUN)
+    done = picking.confirm_picks(with_text_ids(t), asked(spark, t, folder, CONFIRM), run_time())
     parts = [
         done.changes[name].select(
             F.lit(name).alias("kind"), "id", "status", (F.lit(None) if name == "picklist" else F.col("qty_picked")).cast("double").alias("qty_picked")
@@ -303,7 +308,7 @@ def _(t, spark, folder):
     select id, 'CLOSED' status from {picklist} k where status<>'CLOSED' and id in (select picklist_id from {pick_item})
       and not exists (select 1 from {pick_item} i where i.picklist_id=k.id and not i.is_deleted and i.status<>'PICKED')""")
 def _(t, spark, folder):
-    return picking.closed_picklists(t, RUN).select("id", "status")
+    return picking.closed_picklists(t, run_time()).select("id", "status")
 
 
 # --- shipping -------------------------------------------------------------------------------------
@@ -329,13 +334,13 @@ def shipped_items(done):
 
 @query("b10_ship_order_picks", ITEMS, shipped=SHIPPED_ORDER)
 def _(t, spark, folder):
-    return shipped_items(shipping.ship_picks(with_text_ids(t), t["shipment"].select(F.col("id").cast("string").alias("shipment_id")), RUN))
+    return shipped_items(shipping.ship_picks(with_text_ids(t), t["shipment"].select(F.col("id").cast("string").alias("shipment_id")), run_time()))
 
 
 @query("b10_ship_warehouse_picks", ITEMS, shipped=SHIPPED_WAREHOUSE)
 def _(t, spark, folder):
     newest = t["shipment"].filter("not is_deleted").groupBy("warehouse_id").agg(F.max("id").cast("string").alias("shipment_id"))
-    return shipped_items(shipping.ship_picks(with_text_ids(t), newest.select("shipment_id"), RUN, scope="warehouse"))
+    return shipped_items(shipping.ship_picks(with_text_ids(t), newest.select("shipment_id"), run_time(), scope="warehouse"))
 
 
 ORDERED = "select sales_order_id, sum(qty_ordered) ordered from {sales_order_line} where not is_deleted group by 1"
@@ -352,7 +357,7 @@ SHIPPED_QTY = """
     where not o.is_deleted and o.id in (select sales_order_id from {shipment} where not is_deleted)""",
     shipped=SHIPPED_ORDER, ordered=ORDERED, shipped_qty=SHIPPED_QTY)
 def _(t, spark, folder):
-    done = shipping.ship_picks(with_text_ids(t), t["shipment"].select(F.col("id").cast("string").alias("shipment_id")), RUN)
+    done = shipping.ship_picks(with_text_ids(t), t["shipment"].select(F.col("id").cast("string").alias("shipment_id")), run_time())
     return done.changes["sales_order"].select("id", "status")
 
 
@@ -362,7 +367,7 @@ def _(t, spark, folder):
       from {sales_order} o left join {ordered} d on d.sales_order_id=o.id left join {shipped_qty} x on x.sales_order_id=o.id
       where not o.is_deleted and o.status<>'CANCELLED') z where due is not null and due<>status""", ordered=ORDERED, shipped_qty=SHIPPED_QTY)
 def _(t, spark, folder):
-    return shipping.ship_statuses(t, RUN).select("id", "status")
+    return shipping.ship_statuses(t, run_time()).select("id", "status")
 
 
 @query("b12_received_status", """
@@ -370,7 +375,7 @@ def _(t, spark, folder):
       and id in (select purchase_order_id from {purchase_order_line})
       and not exists (select 1 from {purchase_order_line} l where l.purchase_order_id=o.id and not l.is_deleted and l.qty_received<l.qty_ordered)""")
 def _(t, spark, folder):
-    return receiving.received_orders(t, RUN).select("id", "status")
+    return receiving.received_orders(t, run_time()).select("id", "status")
 
 
 # --- movements ------------------------------------------------------------------------------------
@@ -389,7 +394,7 @@ POSTING = dict(postable=POSTABLE, checked=POST_CHECKED, moves=POST_MOVES, stock=
 
 def posting(t):
     empty_ledger = t.replacing(inventory_tx=t["inventory_tx"].limit(0))
-    return ledger.post_movements(empty_ledger, t["inventory_tx"], RUN)
+    return ledger.post_movements(empty_ledger, t["inventory_tx"], run_time())
 
 
 @query("b08_post_movements", """
@@ -421,7 +426,7 @@ ADJUST = """
       case when not f.ok then null when a.qty_delta>=0 then 'ADJUST_POS' else 'ADJUST_NEG' end from {fold} f join {adjust} a on a.id=f.id""",
     adjust=ADJUST, moves=f"select id, {BUCKET_KEY} b, qty_delta delta, ts o1, id o2 from {{adjust}} where qty_delta<>0", stock=STOCK, fold=FOLD)
 def _(t, spark, folder):
-    done = ledger.adjust_stock(t, asked(spark, t, folder, ADJUST), RUN)
+    done = ledger.adjust_stock(t, asked(spark, t, folder, ADJUST), run_time())
     return done.inserts["inventory_tx"].select("id", F.lit("posted").alias("outcome"), "reason").unionByName(
         done.rejects.select(F.col("request_id").alias("id"), F.col("reject_code").alias("outcome"), F.lit(None).cast("string").alias("reason"))
     )
@@ -452,13 +457,13 @@ SUPPLIER_RETURNS = return_requests("supplier_return_line", "supplier_return_id")
 
 @query("b16_customer_returns", RETURN_OUTCOME, returns=CUSTOMER_RETURNS, measured=return_moves(""), moves=SOUND_MOVES, stock=STOCK, fold=FOLD)
 def _(t, spark, folder):
-    done = ledger.receive_customer_returns(with_text_ids(t), asked(spark, t, folder, CUSTOMER_RETURNS), RUN)
+    done = ledger.receive_customer_returns(with_text_ids(t), asked(spark, t, folder, CUSTOMER_RETURNS), run_time())
     return outcomes(done.inserts["customer_return_line"], "posted", done.rejects)
 
 
 @query("b17_supplier_returns", RETURN_OUTCOME, returns=SUPPLIER_RETURNS, measured=return_moves("-"), moves=SOUND_MOVES, stock=STOCK, fold=FOLD)
 def _(t, spark, folder):
-    done = ledger.ship_supplier_returns(with_text_ids(t), asked(spark, t, folder, SUPPLIER_RETURNS), RUN)
+    done = ledger.ship_supplier_returns(with_text_ids(t), asked(spark, t, folder, SUPPLIER_RETURNS), run_time())
     return outcomes(done.inserts["supplier_return_line"], "posted", done.rejects)
 
 
@@ -507,7 +512,7 @@ GROUP_FOLD = """
     capacity=f"select {BUCKET_KEY} b, cast(warehouse_id as string) grp, qty_on_hand available from {{transfer_stock}}")
 def _(t, spark, folder):
     text_tables = with_text_ids(t.replacing(inventory=asked(spark, t, folder, TRANSFER_STOCK)))
-    done = ledger.post_transfers(text_tables, asked(spark, t, folder, TRANSFERS), RUN, "out")
+    done = ledger.post_transfers(text_tables, asked(spark, t, folder, TRANSFERS), run_time(), "out")
     return outcomes(done.changes["transfer_order"].withColumn("id", F.concat(F.lit("T"), "id")), "posted", done.rejects)
 
 
@@ -519,7 +524,7 @@ def _(t, spark, folder):
     where l.transfer_order_id not in (select l2.transfer_order_id from {transfer_order_line} l2 join {product} p2 on p2.id=l2.product_id and not p2.is_deleted
                                       where l2.uom_id is null or l2.uom_id=3)""")
 def _(t, spark, folder):
-    done = ledger.post_transfers(with_text_ids(t), asked(spark, t, folder, TRANSFERS), RUN, "in")
+    done = ledger.post_transfers(with_text_ids(t), asked(spark, t, folder, TRANSFERS), run_time(), "in")
     return doubles(done.inserts["inventory_tx"].select("ref_id", "move_key", "warehouse_id", "qty_delta"), "qty_delta")
 
 
@@ -566,7 +571,7 @@ FULFILLED = dict(
                left join {order_needs} n on n.line_id=l.id group by 1) s on s.sales_order_id=o.id""", **FULFILLED)
 def _(t, spark, folder):
     tables = with_text_ids(t.replacing(inventory=asked(spark, t, folder, ORDER_STOCK)))
-    done = fulfil.fulfil_orders(tables, asked(spark, t, folder, ORDER_REQUESTS), asked(spark, t, folder, ORDER_LINES), RUN)
+    done = fulfil.fulfil_orders(tables, asked(spark, t, folder, ORDER_REQUESTS), asked(spark, t, folder, ORDER_LINES), run_time())
     status = done.result.inserts["sales_order"].select(F.col("id").alias("sales_order_id"), F.col("status").alias("so_status"))
     fulfilled = done.outcome.join(status, "sales_order_id").select(
         F.col("sales_order_id").alias("id"), F.lit("fulfilled").alias("outcome"), "so_status",
