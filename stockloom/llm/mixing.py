@@ -156,7 +156,7 @@ def mix(
     sized = staged(sizes(docs, id_col=id_col, text_col=text_col, source_col=source_col, preference=preference), "mix-sizes")
     sized = sized.withColumn("preference", F.greatest(F.coalesce("preference", F.lit(0.0)), F.lit(0.0)))
     targets = staged(source_targets(sized, weights=weights, share=share, max_copies=max_copies), "mix-targets")
-    rows = ranked(sized, targets, max_copies=max_copies, seed=seed)
+    rows = staged(ranked(sized, targets, max_copies=max_copies, seed=seed), "mix-ranked")
     c = staged(cuts(rows, targets), "mix-cuts").withColumnRenamed("source", "_source").withColumnRenamed("slice", "_slice")
     place = F.struct("q", "doc_id")
     slice_of = F.floor(F.col("q") / (1.0 + F.col("q")) * SLICES)

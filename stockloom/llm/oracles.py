@@ -19,10 +19,9 @@ WITH sized AS (
 ), weighed AS (
   SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight, source_size * 2 AS cap FROM totals
 ), levels AS (
-  SELECT *, (3 * sum(source_size) OVER () - 2 * coalesce(sum(cap) OVER (before), 0))::DOUBLE / (2 * sum(weight) OVER (following))::DOUBLE AS level
+  SELECT *, (3 * sum(source_size) OVER () - 2 * coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / (2 * sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
   FROM weighed
-  WINDOW before AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-         following AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
 ), tau AS (
   SELECT min_by(level, cap / weight) AS tau FROM levels WHERE level * weight <= cap
 ), targets AS (
@@ -99,14 +98,14 @@ WITH texts AS (
     [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
   FROM documents
 ), windows AS (
-  SELECT doc_id, unnest(range(1, len(words) - 6)) AS at, words FROM texts WHERE len(words) >= 8
+  SELECT doc_id, unnest(range(1, len(words) - 6)) AS pos, words FROM texts WHERE len(words) >= 8
 ), keyed AS (
-  SELECT doc_id, at, array_to_string(words[at:at + 7], ' ') AS w FROM windows
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 7], ' ') AS w FROM windows
 ), repeated AS (
-  SELECT doc_id, at FROM keyed QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1
+  SELECT doc_id, pos FROM keyed QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1
 ), covered AS (
-  SELECT doc_id, sum(least(8, coalesce(lead_at - at, 8)))::BIGINT AS n FROM (
-    SELECT doc_id, at, lead(at) OVER (PARTITION BY doc_id ORDER BY at) AS lead_at FROM repeated) GROUP BY doc_id
+  SELECT doc_id, sum(least(8, coalesce(next_pos - pos, 8)))::BIGINT AS n FROM (
+    SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS next_pos FROM repeated) GROUP BY doc_id
 ), counted AS (
   SELECT x.doc_id, x.lang, len(words)::BIGINT AS n_words, length(t) AS chars, {_count(r"\x20\x09-\x0D")} AS white,
     {_count(quality.SYMBOLS)}::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
