@@ -30,6 +30,7 @@ SYMBOLS = r"#*$%&|<>"
 CLASSES = ("aeiou", "b-df-hj-np-tv-z", "A-Z", "0-9", r"\x{80}-\x{10FFFF}", r".,;:!?'\"()\-")
 
 WINDOW = 8
+PROBES = (0, 2, 3, 5, 7)
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MIN_CHARS_TO_COMPARE = 200
@@ -49,12 +50,12 @@ def _covered(starts: Column) -> Column:
 def _repeat_words(rows: DataFrame) -> DataFrame:
     """Adds n_repeat_words to rows with ``_words``: words in windows of eight that occur twice or more.
 
-    Hashes of the windows show whether a document may have a repeat at all. Only such a document compares
-    the windows themselves, by sorting them.
+    Equal windows agree in the words at PROBES, so hashes of these show whether a document may have a repeat
+    at all. Only such a document compares the windows themselves, by sorting them.
     """
     at = F.sequence(F.lit(0), F.size("_words") - WINDOW)
     none = F.array().cast("array<bigint>")
-    hashes = F.transform(at, lambda i: F.xxhash64(*[F.col("_words")[i + k] for k in range(WINDOW)]))
+    hashes = F.transform(at, lambda i: F.xxhash64(*[F.col("_words")[i + k] for k in PROBES]))
     rows = rows.withColumn("_hashes", F.when(F.size("_words") >= WINDOW, hashes).otherwise(none))
     windows = F.transform(at, lambda i: F.struct(F.array_join(F.slice(F.col("_words"), i + 1, F.lit(WINDOW)), " ").alias("w"), i.alias("at")))
     rows = rows.withColumn("_windows", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array(windows)))
@@ -78,7 +79,9 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     chars = F.length(text).cast("long")
     rows = _repeat_words(rows)
     mark = lambda word: F.substring(F.lit(_MARKS), F.array_position(F.array(*[F.lit(w) for w in COMMON_WORDS]), word) + 1, F.lit(1))
-    rows = rows.withColumn("_marks", F.array_join(F.transform("_words", lambda word: mark(F.lower(word))), ""))
+    longest = max(map(len, COMMON_WORDS))
+    marks = F.transform("_words", lambda word: F.when(F.length(word) <= longest, mark(F.lower(word))).otherwise(_MARKS[0]))
+    rows = rows.withColumn("_marks", F.array_join(marks, ""))
     classes = [length_of_class(text, c) for c in CLASSES]
     white = length_of_class(text, SPACES)
     rows = rows.select(
