@@ -15,12 +15,13 @@ import re
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHE = 300_000
+CACHE = 150_000
 LONGEST_CACHED = 40
 UNKNOWN_COST = 10.0
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -65,7 +66,7 @@ class Codec:
     """Encoder and decoder of one vocabulary in one process."""
 
     vocabulary: Vocabulary
-    cache: dict[str, list[int]] = field(default_factory=dict)
+    cache: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.automaton = ahocorasick.Automaton()
@@ -80,6 +81,9 @@ class Codec:
             self.table[i] = piece.replace(MARK, " ").encode()
         for b, i in enumerate(self.vocabulary.bytes_):
             self.table[i] = bytes([b])
+        self.mark = np.array([self.vocabulary.bytes_[b] for b in MARK.encode()], dtype=np.int32).tobytes()
+        self.is_byte = np.zeros(self.vocabulary.size, dtype=bool)
+        self.is_byte[list(self.vocabulary.bytes_)] = True
 
     def best_path(self, text: str) -> list[int]:
         """Ids of the segmentation with the greatest sum of scores; of equal ones the one with longer last pieces."""
@@ -110,35 +114,39 @@ class Codec:
             n = begin
         return ids[::-1]
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        """Ids of one word as packed 32-bit numbers."""
         ids = self.cache.get(word)
         if ids is None:
-            ids = self.best_path(word)
+            ids = np.array(self.best_path(word), dtype=np.int32).tobytes()
             if len(word) <= LONGEST_CACHED:
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
                 self.cache[word] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text, with a space put before it; none for null and empty texts.
 
         Spaces become the word mark. A word mark in the text itself is written as its bytes.
         """
         if not text:
-            return []
-        out: list[int] = []
+            return np.empty(0, dtype=np.int32)
+        out: list[bytes] = []
         for k, part in enumerate((" " + text).split(MARK)):
             if k:
-                out.extend(self.vocabulary.bytes_[b] for b in MARK.encode())
+                out.append(self.mark)
             marked = part.replace(" ", MARK)
-            for word in _WORD.findall(marked) if self.by_word else ([marked] if marked else []):
-                out.extend(self._word(word))
-        return out
+            out.extend(map(self._word, _WORD.findall(marked) if self.by_word else ([marked] if marked else [])))
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids from ``encode``; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+
+    def count_bytes(self, ids: np.ndarray) -> int:
+        """How many of the ids are byte pieces."""
+        return int(self.is_byte[ids].sum())
 
 
 def _codec(shared) -> Codec:
@@ -167,14 +175,13 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id",
     Repeated rows get a row each; only the named columns are read.
     """
     shared = _Shared(docs.sparkSession, vocabulary)
-    fallback = frozenset(vocabulary.bytes_)
 
     @F.pandas_udf("piece_ids array<int>, n_bytes long, round_trip boolean")
     def encode(texts: pd.Series) -> pd.DataFrame:
         codec = _codec(shared)
         ids = [codec.encode(text) for text in texts]
         same = [codec.decode(i) == (text or "") for i, text in zip(ids, texts)]
-        n_bytes = [sum(map(fallback.__contains__, i)) for i in ids]
+        n_bytes = [codec.count_bytes(i) for i in ids]
         return pd.DataFrame({"piece_ids": ids, "n_bytes": n_bytes, "round_trip": same})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), encode(F.col(text_col)).alias("e"))
@@ -188,6 +195,6 @@ def decoded(rows: DataFrame, vocabulary: Vocabulary, *, ids_col: str = "piece_id
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
         codec = _codec(shared)
-        return ids.map(lambda i: None if i is None else codec.decode(list(i)))
+        return ids.map(lambda i: None if i is None else codec.decode(np.asarray(i)))
 
     return rows.withColumn("text", decode(F.col(ids_col)))
