@@ -234,7 +234,7 @@ def _exact(group: pd.DataFrame, similarity: float, shingle_words: int) -> pd.Dat
     near[np.ix_(left, right)] = linked([sets[k] for k in left], [sets[k] for k in right], similarity)
     near |= near.T
     np.fill_diagonal(near, False)
-    links = (near @ copies).astype(np.int64)
+    links = np.array([copies[row].sum() for row in near], dtype=np.int64)
     order = np.argsort(reps, kind="stable")
     root = roots(near[np.ix_(order, order)])
     return pd.DataFrame({"rep": reps[order], "links": links[order], "root": reps[order][root]})

@@ -10,7 +10,8 @@ import xxhash
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _CACHE: dict[str, int] = {}
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
+COLUMNS = 1024
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -71,8 +72,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     in_a, in_b = np.isin(a, common), np.isin(b, common)
     col_a, col_b = np.searchsorted(common, a[in_a]), np.searchsorted(common, b[in_b])
     row_a, row_b = row_a[in_a], row_b[in_b]
-    for at in range(0, len(common), 4096):
-        width = min(4096, len(common) - at)
+    for at in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - at)
         sides = []
         for rows, cols, n in ((row_a, col_a, len(left)), (row_b, col_b, len(right))):
             here = (cols >= at) & (cols < at + width)
@@ -85,10 +86,14 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
     """True where the Jaccard similarity is at least ``threshold``."""
-    common = overlaps(left, right).astype(np.float64)
+    common = overlaps(left, right)
     na, nb = np.array([len(x) for x in left], dtype=np.float64), np.array([len(x) for x in right], dtype=np.float64)
-    # A tiny slack keeps pairs at exactly the threshold, as 4 / 5 is not exact in binary.
-    return (common + 1e-9 >= threshold * (na[:, None] + nb[None, :] - common)) & (common > 0)
+    out = np.empty(common.shape, dtype=bool)
+    for k, row in enumerate(common):
+        row = row.astype(np.float64)
+        # A tiny slack keeps pairs at exactly the threshold, as 4 / 5 is not exact in binary.
+        out[k] = (row + 1e-9 >= threshold * (na[k] + nb - row)) & (row > 0)
+    return out
 
 
 def roots(adjacent: np.ndarray) -> np.ndarray:
