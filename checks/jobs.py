@@ -387,14 +387,20 @@ POSTABLE = f"""
     from {{inventory_tx}} x"""
 POST_CHECKED = """
     select *, case when fault0 is not null then fault0
+                   when move_key in (select move_key from {stored_part}) then 'UNIQUE_VIOLATION'
                    when row_number() over (partition by fault0, move_key order by o1, o2)>1 then 'UNIQUE_VIOLATION' end fault from {postable}"""
 POST_MOVES = "select id, b, delta, o1, o2 from {checked} where fault is null"
-POSTING = dict(postable=POSTABLE, checked=POST_CHECKED, moves=POST_MOVES, stock=STOCK, fold=FOLD)
+# Every fourth movement counts as stored before all of them are asked for.
+STORED_PART = "id%4=0"
+POSTING = dict(stored_part=f"select move_key from {{inventory_tx}} where {STORED_PART}", postable=POSTABLE, checked=POST_CHECKED, moves=POST_MOVES, stock=STOCK, fold=FOLD)
+
+
+def partly_stored(t):
+    return t.replacing(inventory_tx=t["inventory_tx"].filter(STORED_PART))
 
 
 def posting(t):
-    empty_ledger = t.replacing(inventory_tx=t["inventory_tx"].limit(0))
-    return ledger.post_movements(empty_ledger, t["inventory_tx"], run_time())
+    return ledger.post_movements(partly_stored(t), t["inventory_tx"], run_time())
 
 
 @query("b08_post_movements", """

@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.llm.components import components
-from stockloom.llm.shingles import linked, mix64, roots, seeds, shingle_set, signature
+from stockloom.llm.shingles import forget_words, linked, mix64, roots, seeds, shingle_set, signature
 from stockloom.session import staged
 
 WIDTH = 128
 SMALL = 64
 DEPTH = 4
 BLOCK_SETS = 2048
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 2_000_000
 NEAR_LEADER = 0.95
 SLACK = 0.2
 
@@ -65,6 +65,7 @@ def _signatures(shingle_words: int):
                 else:
                     out.append((doc_id, 0, None, None))
             yield pd.DataFrame(out, columns=["doc_id", "n", "set_key", "sig"])
+        forget_words()
 
     return sets
 
@@ -244,6 +245,7 @@ def _exact_small(similarity: float, shingle_words: int):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _runs_of(batches, "component"):
             yield _exact(group, similarity, shingle_words)
+        forget_words()
 
     return compare
 

@@ -146,9 +146,15 @@ def _vectors(texts: pd.Series) -> pd.Series:
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Fit to at most ``per_language`` rows of each label among those not held out; the sample does not depend on the layout."""
+    """Fit to at most ``per_language`` rows of each label among those not held out; the sample does not depend on the layout.
+
+    Only rows whose digest, as a share of its range, lies below about four times the share wanted are ranked.
+    """
     labelled = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).filter(F.col("_lang").isNotNull() & ~held_out("_id"))
     labelled = labelled.distinct().withColumn("_draw", F.md5(F.col("_id").cast("string")))
+    counts = labelled.groupBy(F.col("_lang").alias("_label")).agg(F.count(F.lit(1)).alias("_of_label"))
+    share = F.conv(F.substring("_draw", 1, 12), 16, 10).cast("long") / float(1 << 48)
+    labelled = labelled.join(counts, F.col("_lang") == F.col("_label")).filter(share * F.col("_of_label") < 4 * per_language + 100)
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_draw", "_id"))
     sample = labelled.withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select("_id", "_lang")
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(lang_col).alias("_doc_lang"), F.col(text_col).alias("_text"))

@@ -12,17 +12,21 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 MARK = "▁"
 CACHE = 150_000
 LONGEST_CACHED = 40
+ROWS_AT_ONCE = 500
 UNKNOWN_COST = 10.0
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -172,20 +176,29 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id",
     """One row per document: doc_id, n_pieces, piece_ids, n_bytes (fallback pieces) and round_trip.
 
     ``round_trip`` tells that decoding gives the text again. Null text counts as empty: no pieces.
-    Repeated rows get a row each; only the named columns are read.
+    Repeated rows get a row each; only the named columns are read. A task holds the ids of
+    ``ROWS_AT_ONCE`` texts at a time.
     """
     shared = _Shared(docs.sparkSession, vocabulary)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["doc_id", "n_pieces", "piece_ids", "n_bytes", "round_trip"]
 
-    @F.pandas_udf("piece_ids array<int>, n_bytes long, round_trip boolean")
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        ids = [codec.encode(text) for text in texts]
-        same = [codec.decode(i) == (text or "") for i, text in zip(ids, texts)]
-        n_bytes = [codec.count_bytes(i) for i in ids]
-        return pd.DataFrame({"piece_ids": ids, "n_bytes": n_bytes, "round_trip": same})
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), encode(F.col(text_col)).alias("e"))
-    return rows.select("doc_id", F.size("e.piece_ids").cast("long").alias("n_pieces"), "e.piece_ids", "e.n_bytes", "e.round_trip")
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                texts = part.column("text").to_pylist()
+                ids = [codec.encode(text) for text in texts]
+                n_pieces = np.array([len(i) for i in ids], dtype=np.int64)
+                ends = np.concatenate(([0], np.cumsum(n_pieces))).astype(np.int32)
+                n_bytes = np.array([codec.count_bytes(i) for i in ids], dtype=np.int64)
+                same = [codec.decode(i) == (text or "") for i, text in zip(ids, texts)]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_pieces), lists, pa.array(n_bytes), pa.array(same)], names)
+
+    types = [rows.schema["doc_id"].dataType, LongType(), ArrayType(IntegerType()), LongType(), BooleanType()]
+    return rows.mapInArrow(encode, StructType([StructField(n, t) for n, t in zip(names, types)]))
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, *, ids_col: str = "piece_ids") -> DataFrame:

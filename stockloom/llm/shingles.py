@@ -10,7 +10,7 @@ import xxhash
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _CACHE: dict[str, int] = {}
-_CACHE_WORDS = 150_000
+_CACHE_WORDS = 50_000
 COLUMNS = 1024
 
 
@@ -33,6 +33,11 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def forget_words() -> None:
+    """Empty the word cache, so that a worker process does not carry it into other work."""
+    _CACHE.clear()
+
+
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``width`` words; of the whole text if it is shorter; none without words."""
     words = [w for w in SPLIT.split(text or "") if w]
@@ -60,6 +65,14 @@ def seeds(t: int) -> np.ndarray:
     return mix64(np.arange(1, t + 1, dtype=np.uint64) * _ODD[0]) | np.uint64(1)
 
 
+def _columns(common: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in ``common`` and row of each of the values that are in it."""
+    at = np.searchsorted(common, values).astype(np.int32)
+    at[at == len(common)] = 0
+    found = common[at] == values
+    return at[found], rows[found]
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two lists of sets.
 
@@ -67,11 +80,12 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """
     out = np.zeros((len(left), len(right)), dtype=np.float32)
     a, b = np.concatenate(left), np.concatenate(right)
-    row_a, row_b = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    row_a, row_b = np.repeat(np.arange(len(left), dtype=np.int32), [len(x) for x in left]), np.repeat(np.arange(len(right), dtype=np.int32), [len(x) for x in right])
     common = np.intersect1d(a, b)
-    in_a, in_b = np.isin(a, common), np.isin(b, common)
-    col_a, col_b = np.searchsorted(common, a[in_a]), np.searchsorted(common, b[in_b])
-    row_a, row_b = row_a[in_a], row_b[in_b]
+    if not len(common):
+        return out
+    col_a, row_a = _columns(common, a, row_a)
+    col_b, row_b = _columns(common, b, row_b)
     for at in range(0, len(common), COLUMNS):
         width = min(COLUMNS, len(common) - at)
         sides = []

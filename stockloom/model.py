@@ -245,5 +245,4 @@ REJECT_CLASSES: dict[str, str] = {
     "PRODUCT_MISMATCH": "Validation",
     "INVALID_QTY": "Validation",
     "MISSING_CONVERSION": "Infrastructure",
-    "GROUP_REJECTED": "Validation",
 }

@@ -24,7 +24,7 @@ def running_totals(
     """Add one running total per entry of ``totals`` along ``order`` within ``keys``.
 
     ``slice_by`` must not decrease along ``order``. Neither it nor the key columns may be null (see
-    ``functions.keys.bucket`` for a null-free form of a bucket).
+    ``functions.keys.bucket`` for a null-free form of a bucket); the slices below put nulls first.
     """
     cut = df.withColumn("_slice", slice_by)
     for name, value in totals.items():
@@ -47,8 +47,8 @@ def ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Co
 
 
 def numeric_slice(column: str, width: int) -> Column:
-    return F.floor(F.col(column) / F.lit(width))
+    return F.coalesce(F.floor(F.col(column) / F.lit(width)), F.lit(-(1 << 62)))
 
 
 def time_slice(column: str, grain: str) -> Column:
-    return F.date_trunc(grain, F.col(column))
+    return F.coalesce(F.date_trunc(grain, F.col(column)), F.lit("0001-01-01 00:00:00").cast("timestamp"))

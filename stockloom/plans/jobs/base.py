@@ -76,14 +76,19 @@ def already_stored(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return stored.select(key).join(rows.select(key), key, "left_semi").distinct()
 
 
-def repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], request: str) -> DataFrame:
-    """Requests that repeat a key already taken by an earlier one; null keys are exempt.
+def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str], request: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that take their key first, and the ``request`` of every other row; null keys are exempt.
 
-    The first row per key is found by an aggregate, so a key repeated very often costs no more.
+    Firsts are found by an aggregate over whole rows, so a key repeated very often costs no more. The
+    others are told by occurrence: a row that repeats the first in every column is one of them, while
+    the first itself stays. ``request`` alone must therefore not be used to take the others away.
     """
+    place = list(dict.fromkeys([*order, request, *df.columns]))
     keyed = df.dropna(subset=list(keys))
-    firsts = keyed.groupBy(*keys).agg(F.min(F.struct(*dict.fromkeys([*order, request]))).alias("_first")).select(F.col(f"_first.{request}").alias(request))
-    return keyed.join(firsts, request, "left_anti")
+    grouped = keyed.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min(F.struct(*place)).alias("_first"))
+    firsts = staged(grouped.select("_first.*").select(*df.columns), "firsts")
+    unkeyed = df.filter(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]))
+    return firsts.unionByName(unkeyed), keyed.select(request).exceptAll(firsts.select(request))
 
 
 def stamped(df: DataFrame, run_ts: Column, **values: Column) -> DataFrame:

@@ -54,7 +54,8 @@ def running_balances(moves: DataFrame, opening: DataFrame) -> DataFrame:
 
     ``moves``: a stream with id, ts, bucket columns, qty_delta. ``opening``: bucket columns and balance.
     """
-    moves.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if moves.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", None) != ROCKSDB:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     id_type = dict(moves.dtypes)["id"]
     keyed = moves.select("id", "ts", F.to_json(bucket()).alias("bucket"), (F.col("qty_delta") * 1000).cast("bigint").alias("delta"))
     start = opening.select(F.to_json(bucket()).alias("bucket"), (F.col("balance") * 1000).cast("bigint").alias("thousandths"))
@@ -72,7 +73,11 @@ def running_balances(moves: DataFrame, opening: DataFrame) -> DataFrame:
 
 
 def once_per_move_key(moves: DataFrame, delay: str) -> DataFrame:
-    """R2: drop repeats of a move key that arrive within ``delay``; the ledger writer catches later ones."""
+    """R2: drop repeats of a move key that arrive within ``delay``, with state bounded by it.
+
+    Rows that come later than ``delay`` are not in the result at all. Where none may be lost, use the
+    ledger writer, which tests each key against all that is stored.
+    """
     return moves.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["move_key"])
 
 
@@ -80,16 +85,19 @@ def ledger_writer(t: Tables, folder: str, run_ts: Column):
     """A ``foreachBatch`` function that posts each micro-batch by the rules of B8.
 
     Ledger rows, balances and rejects go to ``folder``. A batch that runs again gives the same result,
-    and a move key posted in any earlier batch is refused, however old it is.
+    and a move key stored in ``t`` or posted in any earlier batch is refused, however old it is.
     """
     ledger_shape = t["inventory_tx"]
+    opening = t["inventory"] if "updated_at" in t["inventory"].columns else t["inventory"].withColumn("updated_at", F.lit(None).cast("timestamp"))
 
     def post(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ledger = rows_before(spark, f"{folder}/inventory_tx", batch_id, ledger_shape)
-        stock = state_before(spark, f"{folder}/inventory", batch_id, t["inventory"].withColumn("updated_at", F.lit(None).cast("timestamp")))
+        ledger = ledger_shape.unionByName(rows_before(spark, f"{folder}/inventory_tx", batch_id, ledger_shape))
+        stock = state_before(spark, f"{folder}/inventory", batch_id, opening)
         now: JobResult = post_movements(t.replacing(inventory_tx=ledger, inventory=stock), batch, run_ts)
-        write_batch(now.inserts["inventory_tx"].select(*ledger_shape.columns), f"{folder}/inventory_tx", batch_id)
+        posted = now.inserts["inventory_tx"]
+        posted = posted.withColumns({f.name: F.lit(None).cast(f.dataType) for f in ledger_shape.schema if f.name not in posted.columns})
+        write_batch(posted.select(*ledger_shape.columns), f"{folder}/inventory_tx", batch_id)
         write_batch(now.rejects, f"{folder}/rejects", batch_id)
         kept = stock.join(now.changes["inventory"].select("id"), "id", "left_anti")
         write_batch(kept.unionByName(now.changes["inventory"].select(*stock.columns)), f"{folder}/inventory", batch_id)
