@@ -14,7 +14,7 @@ from stockloom.functions import keys, predicates, text, units
 from stockloom.model import BUCKET, REFERENCES, SCHEMAS
 from stockloom.operators.firsts import greatest_by, least_by
 from stockloom.operators.lookup import columns_of
-from stockloom.operators.running import numeric_slice, ranks, running_totals, time_slice
+from stockloom.operators.running import ranks, running_totals
 from stockloom.plans import documents, metrics, quality, search, views
 from stockloom.plans.jobs import reserving
 from stockloom.session import shared_folder, staged
@@ -395,12 +395,12 @@ def _(t, spark, folder):
     select id, cast(sum(qty_delta) over (partition by warehouse_id order by ts, id rows unbounded preceding) as double) running from {inventory_tx}""")
 def _(t, spark, folder):
     rows = t["inventory_tx"].select("id", "ts", "warehouse_id", "qty_delta")
-    return doubles(running_totals(rows, ["warehouse_id"], ["ts", "id"], time_slice("ts", "hour"), {"running": F.col("qty_delta")}).select("id", "running"), "running")
+    return doubles(running_totals(rows, ["warehouse_id"], ["ts", "id"], {"running": F.col("qty_delta")}, rows=5_000).select("id", "running"), "running")
 
 
 @query("w01_rank_sliced", "select id, row_number() over (partition by product_id order by id) rank from {sales_order_line}")
 def _(t, spark, folder):
-    return ranks(t["sales_order_line"].select("id", "product_id"), ["product_id"], ["id"], numeric_slice("id", 5000), "rank").select("id", "rank")
+    return ranks(t["sales_order_line"].select("id", "product_id"), ["product_id"], ["id"], "rank", rows=200).select("id", "rank")
 
 
 @query("t01_latest_shipment", "select sales_order_id, id, ship_date from {latest}", latest=LATEST_SHIPMENT)

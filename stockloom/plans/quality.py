@@ -174,9 +174,9 @@ def stock_reconciliation(t: Tables) -> DataFrame:
     )
 
 
-def negative_balances(t: Tables, grain: str = "day") -> DataFrame:
+def negative_balances(t: Tables) -> DataFrame:
     """Q11: ledger rows after which a bucket is below zero."""
-    return inventory_tx_running(t, grain).filter("running_qty < 0").select("id", "ts", *BUCKET, "qty_delta", "running_qty")
+    return inventory_tx_running(t).filter("running_qty < 0").select("id", "ts", *BUCKET, "qty_delta", "running_qty")
 
 
 def with_class(rejects: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from stockloom.functions.text import search_tokens
 from stockloom.model import BUCKET
 from stockloom.operators.hierarchy import explode_graph, tree_paths
 from stockloom.operators.lookup import columns_of
-from stockloom.operators.running import running_totals, time_slice
+from stockloom.operators.running import SLICE_ROWS, running_totals
 from stockloom.sources.tables import Tables, active, where_in_keys
 
 
@@ -276,16 +276,15 @@ def transfer_line_open(t: Tables) -> DataFrame:
     )
 
 
-def inventory_tx_running(t: Tables, grain: str = "day") -> DataFrame:
+def inventory_tx_running(t: Tables, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The ledger with the running balance of each bucket.
 
-    ``grain`` is the time slice one task handles for one bucket; a finer grain splits a busy bucket
-    further.
+    A bucket with more than ``slice_rows`` movements is spread over several tasks.
     """
     ledger = t["inventory_tx"].select(
         "id", "ts", bucket().alias("bucket"), "reason", "ref_type", "ref_id", "qty_delta"
     )
-    return running_totals(ledger, ["bucket"], ["ts", "id"], time_slice("ts", grain), {"running_qty": F.col("qty_delta")}).select(
+    return running_totals(ledger, ["bucket"], ["ts", "id"], {"running_qty": F.col("qty_delta")}, slice_rows).select(
         "id", "ts", "bucket.*", "reason", "ref_type", "ref_id", "qty_delta", "running_qty"
     )
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from stockloom.operators.admission import admit
 from stockloom.operators.overdraft import refused_withdrawals
+from stockloom.operators.parts import connected_parts
 from tests.seed import make as _make
-from stockloom.operators.running import numeric_slice, ranks, running_totals, time_slice
+from stockloom.operators.running import cut_by_rows, ranks, running_totals
 
 def make(spark, rows, schema):
     return _make(spark, schema, rows)
@@ -36,12 +37,12 @@ def test_refused_withdrawals(spark, seed_, block_rows):
     stock = make(spark, [(b, Decimal(q)) for b, q in opening.items()], "b int, balance decimal(18,3)").select(
         F.struct("b", F.lit(None).cast("int").alias("x")).alias("bucket"), "balance"
     )
-    refused = refused_withdrawals(df.select("id", "ts", "bucket", "delta"), stock, ["ts", "id"], time_slice("ts", "day"), block_rows)
+    refused = refused_withdrawals(df.select("id", "ts", "bucket", "delta"), stock, ["ts", "id"], block_rows)
     assert sorted(r["id"] for r in refused.collect()) == sorted(expected)
 
 
-@pytest.mark.parametrize("seed_", [1, 2, 3])
-def test_admission_of_whole_requests(spark, seed_):
+@pytest.mark.parametrize("seed_, fold_rows", [(1, 10), (2, 60), (3, 1000)])
+def test_admission_of_whole_requests(spark, seed_, fold_rows):
     rng = random.Random(seed_)
     capacity = {f"r{i}": rng.randrange(0, 60) for i in range(8)}
     demands, requests = [], {}
@@ -62,7 +63,7 @@ def test_admission_of_whole_requests(spark, seed_):
     done = admit(
         make(spark, demands, "request bigint, seq bigint, kind string, resource string, need decimal(18,3)"),
         make(spark, [(r, Decimal(q)) for r, q in capacity.items()], "resource string, available decimal(18,3)"),
-        slice_width=10,
+        fold_rows=fold_rows, slice_rows=25,
     )
     assert sorted(r["request"] for r in done.refused.collect()) == sorted(refused)
     assert {r["request"] for r in done.shortages.collect()} == refused
@@ -82,11 +83,46 @@ def test_running_totals_do_not_depend_on_slices(spark, width):
     rng = random.Random(5)
     rows = [(i, rng.choice("aaab"), rng.randrange(100), rng.randrange(-5, 9)) for i in range(300)]
     df = make(spark, rows, "id bigint, k string, o bigint, v bigint")
-    got = running_totals(df, ["k"], ["o", "id"], numeric_slice("o", width), {"total": F.col("v")})
+    got = running_totals(df, ["k"], ["o", "id"], {"total": F.col("v")}, width)
     sums, expected = {}, {}
     for i, k, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
         sums[k] = sums.get(k, 0) + v
         expected[i] = sums[k]
     assert {r["id"]: r["total"] for r in got.collect()} == expected
-    ranked = ranks(df, ["k"], ["o", "id"], numeric_slice("o", width), "n")
+    ranked = ranks(df, ["k"], ["o", "id"], "n", width)
     assert sorted(r["n"] for r in ranked.filter("k = 'b'").collect()) == list(range(1, sum(r[1] == "b" for r in rows) + 1))
+
+
+def test_rows_of_one_key_at_one_instant_are_cut_by_number(spark):
+    rows = [(None, None, 1)] * 400 + [("a", 5, 1)] * 400 + [("b", k, 1) for k in range(7)]
+    df = make(spark, rows, "k string, o bigint, v bigint")
+    short, long = cut_by_rows(df, ["k"], ["o"], 50)
+    assert {r["k"] for r in short.collect()} == {"b"}
+    sizes = [r["count"] for r in long.groupBy("k", "_slice").count().collect()]
+    assert sum(sizes) == 800 and max(sizes) <= 200
+    got = running_totals(df, ["k"], ["o"], {"total": F.col("v")}, 50).collect()
+    for key, n in ((None, 400), ("a", 400), ("b", 7)):
+        assert sorted(r["total"] for r in got if r["k"] == key) == list(range(1, n + 1))
+
+
+def test_admission_takes_few_steps_when_small_and_full_requests_alternate(spark):
+    full, rows, expected, left = 500, [], set(), {"r": 500, "s": 900}
+    for i in range(400):
+        need = 1 if i % 2 == 0 else full - i // 2
+        resource = "r" if i < 300 else "s"
+        rows.append((i, i, "k", resource, Decimal(need)))
+        if left[resource] >= need:
+            left[resource] -= need
+        else:
+            expected.add(i)
+    demands = make(spark, rows, "request bigint, seq bigint, kind string, resource string, need decimal(18,3)")
+    done = admit(demands, make(spark, [("r", Decimal(500)), ("s", Decimal(900))], "resource string, available decimal(18,3)"), fold_rows=100)
+    assert {r["request"] for r in done.refused.collect()} == expected
+    assert done.rounds <= 5 and done.folds <= 3
+
+
+def test_connected_parts(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7), (200, 100)]
+    got = {r["id"]: r["part"] for r in connected_parts(make(spark, edges, "a bigint, b bigint")).collect()}
+    assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in (100, 101, 102, 200)}}
+    assert connected_parts(make(spark, [], "a bigint, b bigint")).isEmpty()

@@ -171,7 +171,7 @@ def test_approval_and_line_numbers(spark, run_ts):
     keys = seed.make(spark, "id string", [("o1",), ("o2",), ("o3",)])
     assert [r["id"] for r in intake.approve(t, "sales_order", keys, run_ts).changes["sales_order"].collect()] == ["o1"]
     lines = seed.make(spark, seed.LINE_SCHEMA, [seed.line("n1", "o1", 1, seq=2), seed.line("n2", "o1", 1, seq=1), seed.line("n3", "o3", 1)])
-    numbered = intake.add_numbered_lines(t, "sales_order_line", lines, run_ts, slice_width=1).inserts["sales_order_line"]
+    numbered = intake.add_numbered_lines(t, "sales_order_line", lines, run_ts, slice_rows=1).inserts["sales_order_line"]
     assert {r["id"]: r["line_no"] for r in numbered.collect()} == {"n2": 5, "n1": 6, "n3": 1}
 
 
