@@ -1,4 +1,4 @@
-"""DuckDB SQL for the operators that SQL can express: mixing, quality and exact dedup.
+"""DuckDB SQL for the operators that SQL can express: mixing, quality, exact dedup and the prefix trie.
 
 Sharding needs CRC-32, and the others need models, automata, trees or recursion that SQL lacks; tests
 compare those with brute force.
@@ -132,4 +132,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLES = {"op1_pareto_mix": OP1, "op2_distribution_divergence": OP2, "op4_extendible_hash_dedup": OP4}
+
+# CRC-32 of the decimal id, its low two bits; conversations are rebuilt as lists, and each prefix of a list is a node.
+OP13 = r"""
+WITH own AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), lent AS (
+  SELECT conv_id, turns, conv_id - conv_id % 20 AS donor,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: unicode(s)::BIGINT)),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT) % 4 AS h
+  FROM own
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(list_slice(d.turns, 1, a.h), []), list_slice(a.turns, a.h + 1, len(a.turns))) AS seq
+  FROM lent a LEFT JOIN own d ON d.conv_id = a.donor
+), paths AS (
+  SELECT conv_id, len(seq) AS n, d.depth, list_slice(seq, 1, d.depth) AS prefix
+  FROM rebuilt, LATERAL (SELECT unnest(range(0, len(seq) + 1)) AS depth) d
+), nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM paths GROUP BY prefix, depth
+), placed AS (
+  SELECT c.*, p.conv_id AS parent_conv_id, p.prefix AS above FROM nodes c LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.prefix = list_slice(c.prefix, 1, c.depth - 1)
+), children AS (
+  SELECT above AS prefix, depth - 1 AS depth, count(*) AS n FROM placed WHERE depth > 0 GROUP BY 1, 2
+), valued AS (
+  SELECT n.prefix, n.depth, (c.n IS NULL)::BIGINT AS leaf,
+    CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * len(regexp_extract_all(n.prefix[-1].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.prefix = n.prefix
+), sums AS (
+  SELECT list_slice(v.prefix, 1, d.depth) AS prefix, d.depth, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM valued v, LATERAL (SELECT unnest(range(0, v.depth + 1)) AS depth) d GROUP BY 1, 2
+)
+SELECT p.conv_id, p.depth::BIGINT AS depth, p.parent_conv_id, p.n_convs, coalesce(c.n, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+  s.saved_tokens::BIGINT AS saved_tokens, p.ends_sha256
+FROM placed p JOIN sums s ON s.depth = p.depth AND s.prefix = p.prefix LEFT JOIN children c ON c.depth = p.depth AND c.prefix = p.prefix
+"""
+
+ORACLES = {"op1_pareto_mix": OP1, "op2_distribution_divergence": OP2, "op4_extendible_hash_dedup": OP4, "op13_prefix_trie": OP13}
