@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import chat, exact_dedup, html_extract, jaccard_join, language, mixing, pieces, prefix_trie, quality, secrets, sharding
+from stockloom.llm import chat, exact_dedup, html_extract, jaccard_join, language, mixing, pieces, prefix_trie, quality, secrets, sharding, whitening
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -67,6 +67,11 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4)
+    return whitened.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
@@ -75,6 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pareto_mix, op2_distribution_divergence, op3_transcript_parsing, op4_extendible_hash_dedup, op5_jump_hash_shards,
-        op6_sentencepiece, op7_chosen_path_join, op8_language_id, op9_secret_ledger, op10_wrapper_induction, op13_prefix_trie,
+        op6_sentencepiece, op7_chosen_path_join, op8_language_id, op9_secret_ledger, op10_wrapper_induction, op11_embedding_whitening, op13_prefix_trie,
     )
 }
