@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import chat, exact_dedup, html_extract, jaccard_join, language, mixing, pieces, prefix_trie, quality, secrets, sharding, whitening
+from stockloom.llm import chat, exact_dedup, html_extract, jaccard_join, language, mixing, personal_data, pieces, prefix_trie, quality, secrets, sharding, whitening
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -72,6 +72,14 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_spans(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *[number(k) for k in personal_data.BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pareto_mix, op2_distribution_divergence, op3_transcript_parsing, op4_extendible_hash_dedup, op5_jump_hash_shards,
-        op6_sentencepiece, op7_chosen_path_join, op8_language_id, op9_secret_ledger, op10_wrapper_induction, op11_embedding_whitening, op13_prefix_trie,
+        op6_sentencepiece, op7_chosen_path_join, op8_language_id, op9_secret_ledger, op10_wrapper_induction, op11_embedding_whitening, op12_personal_data,
+        op13_prefix_trie,
     )
 }
