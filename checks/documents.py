@@ -41,6 +41,30 @@ HEADER = """
     from {doc_order} o left join {first} f on f.sales_order_id=o.id left join {latest} s on s.sales_order_id=o.id
     left join {chosen} k on k.sales_order_id=o.id"""
 
+DOC_LINES = """
+    select o.id sales_order_id, l.id line_id, l.line_no, l.product_id, p.sku, p.name, l.uom_id, u.code uom_code,
+           cast(l.qty_ordered as double) qty_ordered, cast(greatest(coalesce(r.res,0)-coalesce(r.pick,0),0) as double) qty_reserved_open,
+           cast(greatest(l.qty_ordered-greatest(coalesce(r.res,0)-coalesce(r.pick,0),0),0) as double) qty_to_reserve,
+           cast(l.price_per_uom as double) price_per_uom
+    from {doc_order} o join {sales_order_line} l on l.sales_order_id=o.id and not l.is_deleted join {product} p on p.id=l.product_id and not p.is_deleted
+    join {unit_of_measure} u on u.id=l.uom_id
+    left join (select so_line_id, sum(qty_reserved) res, sum(qty_picked) pick from {reservation} where not is_deleted group by 1) r on r.so_line_id=l.id"""
+
+DOC_RESERVATIONS = """
+    select o.id sales_order_id, r.id, r.so_line_id, r.warehouse_id, r.bin_id, r.product_id, r.lot_id, cast(r.qty_reserved as double) qty_reserved,
+           cast(r.qty_picked as double) qty_picked, r.status
+    from {doc_order} o join {sales_order_line} l on l.sales_order_id=o.id join {reservation} r on r.so_line_id=l.id and not r.is_deleted"""
+
+DOC_PICK_ITEMS = """
+    select o.id sales_order_id, k.picklist_id, k.warehouse_id, k.status picklist_status, i.id, i.reservation_id, i.bin_id, i.product_id, i.lot_id,
+           cast(i.qty_to_pick as double) qty_to_pick, cast(i.qty_picked as double) qty_picked, i.status
+    from {doc_order} o join {chosen} k on k.sales_order_id=o.id left join {pick_item} i on i.picklist_id=k.picklist_id and not i.is_deleted"""
+
+DOC_SHIPMENT_ITEMS = """
+    select o.id sales_order_id, s.id shipment_id, s.shipment_number, s.ship_date, i.id, i.product_id, i.lot_id,
+           cast(i.qty_shipped as double) qty_shipped
+    from {doc_order} o join {latest} s on s.sales_order_id=o.id left join {shipment_item} i on i.shipment_id=s.id and not i.is_deleted"""
+
 HEADER_COLUMNS = (
     "sales_order_id", "so_number", "customer_id", "customer_name", "so_status", "order_date", "due_date", "currency", "warehouse_id",
     "warehouse_code", "carrier_id", "carrier_name", "tracking_no", "ship_date",
@@ -54,15 +78,7 @@ def _(t, spark, folder):
     )
 
 
-@query("v19_doc_lines", """
-    select o.id sales_order_id, l.id line_id, l.line_no, l.product_id, p.sku, p.name, l.uom_id, u.code uom_code,
-           cast(l.qty_ordered as double) qty_ordered, cast(greatest(coalesce(r.res,0)-coalesce(r.pick,0),0) as double) qty_reserved_open,
-           cast(greatest(l.qty_ordered-greatest(coalesce(r.res,0)-coalesce(r.pick,0),0),0) as double) qty_to_reserve,
-           cast(l.price_per_uom as double) price_per_uom
-    from {doc_order} o join {sales_order_line} l on l.sales_order_id=o.id and not l.is_deleted join {product} p on p.id=l.product_id and not p.is_deleted
-    join {unit_of_measure} u on u.id=l.uom_id
-    left join (select so_line_id, sum(qty_reserved) res, sum(qty_picked) pick from {reservation} where not is_deleted group by 1) r on r.so_line_id=l.id""",
-    **PARTS)
+@query("v19_doc_lines", DOC_LINES, **PARTS)
 def _(t, spark, folder):
     line = documents.order_fulfillment_doc(t).select("sales_order_id", F.explode("lines").alias("x"))
     return line.select(
@@ -73,10 +89,7 @@ def _(t, spark, folder):
     )
 
 
-@query("v19_doc_reservations", """
-    select o.id sales_order_id, r.id, r.so_line_id, r.warehouse_id, r.bin_id, r.product_id, r.lot_id, cast(r.qty_reserved as double) qty_reserved,
-           cast(r.qty_picked as double) qty_picked, r.status
-    from {doc_order} o join {sales_order_line} l on l.sales_order_id=o.id join {reservation} r on r.so_line_id=l.id and not r.is_deleted""", **PARTS)
+@query("v19_doc_reservations", DOC_RESERVATIONS, **PARTS)
 def _(t, spark, folder):
     row = documents.order_fulfillment_doc(t).select("sales_order_id", F.explode("reservations").alias("x"))
     return row.select(
@@ -86,10 +99,7 @@ def _(t, spark, folder):
     )
 
 
-@query("v19_doc_pick_items", """
-    select o.id sales_order_id, k.picklist_id, k.warehouse_id, k.status picklist_status, i.id, i.reservation_id, i.bin_id, i.product_id, i.lot_id,
-           cast(i.qty_to_pick as double) qty_to_pick, cast(i.qty_picked as double) qty_picked, i.status
-    from {doc_order} o join {chosen} k on k.sales_order_id=o.id left join {pick_item} i on i.picklist_id=k.picklist_id and not i.is_deleted""", **PARTS)
+@query("v19_doc_pick_items", DOC_PICK_ITEMS, **PARTS)
 def _(t, spark, folder):
     row = documents.order_fulfillment_doc(t).filter(F.col("picklist").isNotNull()).select(
         "sales_order_id", F.col("picklist.picklistId").alias("picklist_id"), F.col("picklist.warehouseId").alias("warehouse_id"),
@@ -102,10 +112,7 @@ def _(t, spark, folder):
     )
 
 
-@query("v19_doc_shipment_items", """
-    select o.id sales_order_id, s.id shipment_id, s.shipment_number, s.ship_date, i.id, i.product_id, i.lot_id,
-           cast(i.qty_shipped as double) qty_shipped
-    from {doc_order} o join {latest} s on s.sales_order_id=o.id left join {shipment_item} i on i.shipment_id=s.id and not i.is_deleted""", **PARTS)
+@query("v19_doc_shipment_items", DOC_SHIPMENT_ITEMS, **PARTS)
 def _(t, spark, folder):
     row = documents.order_fulfillment_doc(t).filter(F.col("shipment").isNotNull()).select(
         "sales_order_id", F.col("shipment.shipmentId").alias("shipment_id"), F.col("shipment.shipmentNumber").alias("shipment_number"),
@@ -140,3 +147,39 @@ def _(t, spark, folder):
         "_id", "soNumber", "warehouseId", "warehouseCode", "currency", "orderDate", "shipDate",
         F.size("lines").cast("bigint").alias("line_count"), F.size("reservations").cast("bigint").alias("reservation_count"), "source", "createdAt",
     )
+
+
+# What a stored document holds, row by row.
+NESTED = """
+    select sales_order_id _id, 'header' kind, sales_order_id id, coalesce(warehouse_id, sales_order_id%5) ref, cast(null as double) a, cast(null as double) b, so_number note from {header}
+    union all select sales_order_id, 'line', line_id, product_id, qty_ordered, qty_to_reserve, sku || '/' || uom_code from {doc_lines}
+    union all select sales_order_id, 'reservation', id, so_line_id, qty_reserved, qty_picked, status from {doc_reservations}
+    union all select sales_order_id, 'pick', id, reservation_id, qty_to_pick, qty_picked, status from {doc_picks} where id is not null
+    union all select sales_order_id, 'shipped', id, product_id, qty_shipped, cast(null as double), shipment_number from {doc_shipped} where id is not null"""
+
+NESTED_PARTS = {
+    **PARTS, "header": HEADER, "doc_lines": DOC_LINES, "doc_reservations": DOC_RESERVATIONS, "doc_picks": DOC_PICK_ITEMS, "doc_shipped": DOC_SHIPMENT_ITEMS,
+}
+
+
+def nested_rows(stored):
+    """The content of stored documents as rows: _id, kind, id, ref, a, b, note."""
+    empty = F.lit(None).cast("double")
+
+    def part(kind, rows, ref, a, b, note):
+        listed = stored.select("_id", F.col("shipment.shipmentNumber").alias("_shipment"), F.explode(rows).alias("x"))
+        return listed.select("_id", F.lit(kind).alias("kind"), "x.id" if kind != "line" else F.col("x.lineId").alias("id"), F.col(ref).alias("ref"), a.alias("a"), b.alias("b"), note.alias("note"))
+
+    x = lambda name: F.col(f"x.{name}")
+    return (
+        stored.select("_id", F.lit("header").alias("kind"), F.col("_id").alias("id"), F.col("warehouseId").alias("ref"), empty.alias("a"), empty.alias("b"), F.col("soNumber").alias("note"))
+        .unionByName(part("line", "lines", "x.productId", x("qtyOrdered"), x("qtyToReserve"), F.concat("x.productSku", F.lit("/"), "x.uomCode")))
+        .unionByName(part("reservation", "reservations", "x.soLineId", x("qtyReserved"), x("qtyPicked"), x("status")))
+        .unionByName(part("pick", "picklist.items", "x.reservationId", x("qtyToPick"), x("qtyPicked"), x("status")))
+        .unionByName(part("shipped", "shipment.items", "x.productId", x("qtyShipped"), empty, F.col("_shipment")))
+    )
+
+
+@query("v20_documents_nested", NESTED, **NESTED_PARTS)
+def _(t, spark, folder):
+    return nested_rows(stored_documents(t))

@@ -1,42 +1,17 @@
 """Results of micro-batches, stored so that a batch that runs again leaves the same result.
 
-A batch reads only what earlier batches wrote and overwrites its own folder, whatever a failed
-first attempt left there.
+A batch overwrites its own folder, whatever a failed first attempt left there. State that later batches
+read and change is in ``sources.keyed``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(_path(folder, batch_id))
 
 
-def batches_before(spark: SparkSession, folder: str, batch_id: int) -> list[str]:
-    """Complete batch folders older than ``batch_id``, oldest first."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = sorted(status.getPath().toString() for status in fs.listStatus(root))
-    return [
-        n for n in names
-        if n.rsplit("/", 1)[1] < _path("", batch_id)[1:] and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{n}/_SUCCESS"))
-    ]
-
-
-def rows_before(spark: SparkSession, folder: str, batch_id: int, empty: DataFrame) -> DataFrame:
-    """All rows earlier batches appended; shaped like ``empty`` when there are none."""
-    paths = batches_before(spark, folder, batch_id)
-    return spark.read.schema(empty.schema).parquet(*paths) if paths else empty.limit(0)
-
-
-def state_before(spark: SparkSession, folder: str, batch_id: int, initial: DataFrame) -> DataFrame:
-    """The state the last earlier batch left; ``initial`` when there is none."""
-    paths = batches_before(spark, folder, batch_id)
-    return spark.read.schema(initial.schema).parquet(paths[-1]) if paths else initial
-
-
 def _path(folder: str, batch_id: int) -> str:
     return f"{folder}/batch-{batch_id:012d}"

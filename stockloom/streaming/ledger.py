@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -13,9 +13,13 @@ from pyspark.sql.types import LongType, StructField, StructType
 from stockloom.functions.keys import bucket
 from stockloom.model import BUCKET
 from stockloom.plans.jobs.base import JobResult
+from stockloom.operators.overdraft import BLOCK_ROWS, refused_withdrawals
+from stockloom.operators.running import running_totals
 from stockloom.plans.jobs.ledger import post_movements
+from stockloom.session import staged
 from stockloom.sources.tables import Tables
-from stockloom.streaming.batches import rows_before, state_before, write_batch
+from stockloom.sources.keyed import PARTS, KeyedTable
+from stockloom.streaming.batches import write_batch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -81,26 +85,75 @@ def once_per_move_key(moves: DataFrame, delay: str) -> DataFrame:
     return moves.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["move_key"])
 
 
-def ledger_writer(t: Tables, folder: str, run_ts: Column):
+def balance_writer(opening: DataFrame, folder: str, parts: int = PARTS, block_rows: int = BLOCK_ROWS, compact_share: float = 0.5):
+    """R1 for busy buckets: a ``foreachBatch`` function that notes for each movement the balance after it and whether it was accepted.
+
+    ``opening``: bucket columns and balance. Movements: id, ts, bucket columns, qty_delta. The rows of one bucket
+    in a micro-batch are spread over tasks in blocks of ``block_rows``, whatever their number; balances of the
+    buckets at hand are read and written by key. Rows go to ``folder``/movements.
+    """
+    start = opening.groupBy(bucket().alias("bucket")).agg(F.sum("balance").cast("decimal(38,3)").alias("balance"))
+
+    def note(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        moves = staged(batch.select("id", "ts", bucket().alias("bucket"), F.col("qty_delta").cast("decimal(38,3)").alias("delta")), "moves")
+        table = KeyedTable(spark, f"{folder}/balances", start.schema, ["bucket"], parts=parts)
+        known = table.lookup(moves, before=batch_id)
+        first = start.join(moves.select("bucket"), "bucket", "left_semi").join(known.select("bucket"), "bucket", "left_anti")
+        before = staged(known.unionByName(first), "balances-before")
+        refused = refused_withdrawals(moves, before, ["ts", "id"], block_rows)
+        judged = staged(moves.join(refused.withColumn("accepted", F.lit(False)), "id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(True))), "judged-moves")
+        moved = F.when(F.col("accepted"), F.col("delta")).otherwise(F.lit(0)).cast("decimal(38,3)")
+        totals = running_totals(judged, ["bucket"], ["ts", "id"], {"_moved": moved}, block_rows).join(before, "bucket", "left")
+        balance = (F.coalesce("balance", F.lit(0)) + F.col("_moved")).cast("decimal(18,3)")
+        write_batch(
+            totals.select("id", "bucket.*", F.col("delta").cast("decimal(18,3)").alias("qty_delta"), "accepted", balance.alias("running_qty")),
+            f"{folder}/movements", batch_id,
+        )
+        ends = judged.groupBy("bucket").agg(F.sum(moved).alias("_all")).join(before, "bucket", "left")
+        table.put(ends.select("bucket", (F.coalesce("balance", F.lit(0)) + F.col("_all")).cast("decimal(38,3)").alias("balance")), batch_id)
+        table.compact(compact_share)
+
+    return note
+
+
+def posted_table(spark: SparkSession, folder: str, like: DataFrame, parts: int = PARTS) -> KeyedTable:
+    """Ledger rows the writer posted, found by their move key."""
+    return KeyedTable(spark, f"{folder}/inventory_tx", like.schema, ["id"], by=["move_key"], parts=parts)
+
+
+def stock_table(spark: SparkSession, folder: str, like: DataFrame, parts: int = PARTS) -> KeyedTable:
+    """Stock rows the writer changed, found by their bucket."""
+    return KeyedTable(spark, f"{folder}/inventory", like.schema, ["id"], by=list(BUCKET), parts=parts)
+
+
+def ledger_writer(t: Tables, folder: str, run_ts: Column, parts: int = PARTS, compact_share: float = 0.5):
     """A ``foreachBatch`` function that posts each micro-batch by the rules of B8.
 
-    Ledger rows, balances and rejects go to ``folder``. A batch that runs again gives the same result,
-    and a move key stored in ``t`` or posted in any earlier batch is refused, however old it is.
+    Ledger rows, balances and rejects go to ``folder``. A batch that runs again gives the same result, and a
+    move key stored in ``t`` or posted in any earlier batch is refused, however old it is. A batch reads and
+    writes the stock of its buckets only, and looks for its move keys only.
     """
     ledger_shape = t["inventory_tx"]
     opening = t["inventory"] if "updated_at" in t["inventory"].columns else t["inventory"].withColumn("updated_at", F.lit(None).cast("timestamp"))
 
     def post(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ledger = ledger_shape.unionByName(rows_before(spark, f"{folder}/inventory_tx", batch_id, ledger_shape))
-        stock = state_before(spark, f"{folder}/inventory", batch_id, opening)
+        batch = staged(batch, "movements")
+        posted_rows = posted_table(spark, folder, ledger_shape, parts)
+        stock_rows = stock_table(spark, folder, opening, parts)
+        ledger = ledger_shape.unionByName(posted_rows.lookup(batch, before=batch_id))
+        changed = stock_rows.lookup(batch, before=batch_id)
+        at_hand = opening.join(batch.select(bucket().alias("_bucket")), bucket() == F.col("_bucket"), "left_semi")
+        stock = staged(at_hand.join(changed.select("id"), "id", "left_anti").unionByName(changed), "stock")
         now: JobResult = post_movements(t.replacing(inventory_tx=ledger, inventory=stock), batch, run_ts)
         posted = now.inserts["inventory_tx"]
         posted = posted.withColumns({f.name: F.lit(None).cast(f.dataType) for f in ledger_shape.schema if f.name not in posted.columns})
-        write_batch(posted.select(*ledger_shape.columns), f"{folder}/inventory_tx", batch_id)
+        posted_rows.put(posted.select(*ledger_shape.columns), batch_id)
         write_batch(now.rejects, f"{folder}/rejects", batch_id)
-        kept = stock.join(now.changes["inventory"].select("id"), "id", "left_anti")
-        write_batch(kept.unionByName(now.changes["inventory"].select(*stock.columns)), f"{folder}/inventory", batch_id)
+        stock_rows.put(now.changes["inventory"].select(*opening.columns), batch_id)
+        posted_rows.compact(compact_share)
+        stock_rows.compact(compact_share)
 
     return post
 
