@@ -1,38 +1,15 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from stockloom.session import staged
-
-
-def _summary(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-    return tuple(row)
+from stockloom.operators.parts import connected_parts
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b); a component is named by its least id.
 
-    Each step joins and groups edges by node, with partial sums before the shuffle, so a hub costs one row
-    per task. The steps stop when the edges are stars around the least ids.
+    The steps end only when one changes no edge (see ``connected_parts``).
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    e = staged(e, "components")
-    before = _summary(e)
-    while before[0]:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "n")
-        large = both.join(least, F.col("a") == F.col("n")).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        joined = large.join(down, F.col("a") == F.col("n"))
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-        e = staged(small.filter("a <> b").distinct(), "components")
-        after = _summary(e)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return connected_parts(edges).withColumnRenamed("part", "component")

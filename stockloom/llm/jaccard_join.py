@@ -34,8 +34,8 @@ from stockloom.session import staged
 WIDTH = 128
 SMALL = 64
 DEPTH = 4
-BLOCK_SETS = 2048
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SETS = 1024
+BLOCK_SHINGLES = 400_000
 NEAR_LEADER = 0.95
 SLACK = 0.2
 
@@ -78,7 +78,7 @@ def _children(nodes: np.ndarray, sigs: np.ndarray, second: float) -> tuple[np.nd
     """(row, child node) for the sampled positions of each row's node."""
     rows, children = [], []
     for salt in (1, 2):
-        draw = mix64(nodes + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15))
+        draw = mix64(nodes + mix64(np.array([salt], dtype=np.uint64)))
         taken = np.arange(len(nodes)) if salt == 1 else np.flatnonzero((draw >> np.uint64(40)).astype(np.float64) / (1 << 24) < second)
         at = (draw[taken] % np.uint64(WIDTH)).astype(np.int64)
         token = sigs[taken, at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32))
@@ -223,7 +223,7 @@ def candidate_groups(sets: DataFrame, *, similarity: float, recall: float, small
 
 def _exact(group: pd.DataFrame, similarity: float, shingle_words: int) -> pd.DataFrame:
     """Links of the sets of one cell: counts of linked copies, and the least set of each part they form."""
-    sets = [shingle_set(t, shingle_words) for t in group["text"]]
+    sets = [shingle_set(t, shingle_words) for t in group.pop("text")]
     if group["rep"].duplicated().any():
         keys = [_key(s) for s in sets]
         best = {rep: k for k, rep in sorted(enumerate(group["rep"]), key=lambda x: keys[x[0]])}

@@ -10,6 +10,7 @@ short words are remembered, at most ``CACHE`` of them.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 MARK = "▁"
-CACHE = 150_000
+CACHE = 60_000
 LONGEST_CACHED = 40
-ROWS_AT_ONCE = 500
+ROWS_AT_ONCE = 200
 UNKNOWN_COST = 10.0
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -165,7 +166,7 @@ class _Shared:
 
     def __init__(self, spark, vocabulary: Vocabulary) -> None:
         self.broadcast = spark.sparkContext.broadcast(vocabulary)
-        self.id = hash((vocabulary.pieces[:50], vocabulary.size, len(vocabulary.pieces)))
+        self.id = hashlib.sha256(repr((vocabulary.pieces, vocabulary.bytes_)).encode()).hexdigest()
 
     @property
     def value(self) -> Vocabulary:

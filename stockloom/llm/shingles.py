@@ -12,6 +12,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _CACHE: dict[str, int] = {}
 _CACHE_WORDS = 50_000
 COLUMNS = 1024
+STRETCH = 150_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -98,15 +99,28 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _stretches(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Consecutive sets with ``STRETCH`` elements together at most, unless one alone has more."""
+    out, begin, held = [], 0, 0
+    for k, s in enumerate(sets):
+        if k > begin and held + len(s) > STRETCH:
+            out.append((begin, k))
+            begin, held = k, 0
+        held += len(s)
+    return [*out, (begin, len(sets))] if sets else out
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
-    """True where the Jaccard similarity is at least ``threshold``."""
-    common = overlaps(left, right)
+    """True where the Jaccard similarity is at least ``threshold``; both sides go in stretches of bounded size."""
     na, nb = np.array([len(x) for x in left], dtype=np.float64), np.array([len(x) for x in right], dtype=np.float64)
-    out = np.empty(common.shape, dtype=bool)
-    for k, row in enumerate(common):
-        row = row.astype(np.float64)
-        # A tiny slack keeps pairs at exactly the threshold, as 4 / 5 is not exact in binary.
-        out[k] = (row + 1e-9 >= threshold * (na[k] + nb - row)) & (row > 0)
+    out = np.zeros((len(left), len(right)), dtype=bool)
+    for a, b in _stretches(left):
+        for c, d in _stretches(right):
+            common = overlaps(left[a:b], right[c:d])
+            for k, row in enumerate(common):
+                row = row.astype(np.float64)
+                # A tiny slack keeps pairs at exactly the threshold, as 4 / 5 is not exact in binary.
+                out[a + k, c:d] = (row + 1e-9 >= threshold * (na[a + k] + nb[c:d] - row)) & (row > 0)
     return out
 
 
