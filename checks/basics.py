@@ -11,14 +11,18 @@ from checks.jobs import run_time, asked
 from checks.registry import AS_OF, RUN_TS, doubles, query
 from checks.views import AVAILABLE, BUCKETS, CATALOG, HELD
 from stockloom.functions import keys, predicates, text, units
+from stockloom import model
 from stockloom.model import BUCKET, REFERENCES, SCHEMAS
 from stockloom.operators.firsts import greatest_by, least_by
+from stockloom.operators.hierarchy import tree_paths
 from stockloom.operators.lookup import columns_of
 from stockloom.operators.running import ranks, running_totals
 from stockloom.plans import documents, metrics, quality, search, views
 from stockloom.plans.jobs import reserving
 from stockloom.session import shared_folder, staged
 from stockloom.sources import tables, writers
+from stockloom.sources.fixtures import derived_columns
+from stockloom.sources.ledger_store import LedgerStore
 
 # --- sources and sinks ----------------------------------------------------------------------------
 
@@ -437,6 +441,20 @@ def _(t, spark, folder):
     return views.category_path(t).groupBy("depth").agg(F.count("*").alias("n"))
 
 
+CHAIN = """
+    select id, concat('C', cast(id as string)) code, concat('Name ', cast(id as string)) name,
+           case when id%97=0 then null when id%1000=13 then id when id%500=499 then id+100000000 else id-1 end parent_id
+    from {product}"""
+
+
+@query("u02_deep_tree_paths", """
+    with recursive walk as (select id, code path_code, name path_name, 0 depth from {chain} where parent_id is null
+      union all select k.id, w.path_code || '/' || k.code, w.path_name || '/' || k.name, w.depth+1 from {chain} k join walk w on k.parent_id=w.id)
+    select id, path_code, path_name, depth from walk""", chain=CHAIN)
+def _(t, spark, folder):
+    return tree_paths(asked(spark, t, folder, CHAIN)).select("id", "path_code", "path_name", "depth")
+
+
 @query("u03_graph_levels", """
     with recursive edge as (select b.parent_product_id p, i.component_product_id c, b.id from {bom} b join {bom_item} i on i.bom_id=b.id where not b.is_deleted
         and (b.effective_to is null or b.effective_to>=date'2024-06-30') and (b.effective_from is null or b.effective_from<=date'2024-06-30')),
@@ -649,15 +667,69 @@ def _(t, spark, folder):
     return quality.row_rules(asked(spark, t, folder, BAD_RESERVATIONS), "reservation").select("rule", "row_id", "reject_code")
 
 
-@query("q08_all_tables_clean", """
-    select 'app_user' table_name, 'unique:lower(email)' rule, count(*) n from (select 1 from {app_user} group by lower(email) having count(*)>1) a having count(*)>0
-    union all select 'inventory_tx', 'unique:move_key', count(*) from (select 1 from {inventory_tx} group by move_key having count(*)>1) b having count(*)>0
-    union all select 'supplier_return_line', 'foreign_key:receipt_line_id', count(*) from {supplier_return_line} where receipt_line_id not in (select id from {receipt_line}) having count(*)>0
-    union all select 'inventory_tx', 'foreign_key:product_id', count(*) from {inventory_tx} where product_id not in (select id from {product}) having count(*)>0""")
-def _(t, spark, folder):
-    checked = ["app_user", "inventory_tx", "uom_conversion", "customer_return_line", "supplier_return_line", "bom_item"]
-    found = quality.all_violations(t, checked)
-    return found.groupBy("table_name", "rule").agg(F.count("*").alias("n"))
+def _every_rule() -> str:
+    """SQL for the declared rules of all tables, over the columns that the derived tables have; counts of violations by rule."""
+    found = []
+
+    def rule(table, name, select):
+        found.append(f"select '{table}' table_name, '{name}' rule, count(*) n from ({select}) x having count(*)>0")
+
+    def repeats(table, name, columns, where, exempt):
+        nulls = "".join(f" and {c} is not null" for c in columns) if exempt else ""
+        rule(table, name, f"select 1 from {{{table}}} where {where}{nulls} group by {', '.join(columns)} having count(*)>1")
+
+    for table, schema in model.SCHEMAS.items():
+        columns = derived_columns(table)
+        has = set(columns).issuperset
+        repeats(table, "primary_key", ["id"], "true", True)
+        rule(table, "primary_key", f"select count(*) from {{{table}}} where id is null having count(*)>0")
+        for field in schema:
+            if field.name in columns and field.name != "id":
+                if not field.nullable:
+                    rule(table, f"not_null:{field.name}", f"select 1 from {{{table}}} where {field.name} is null")
+                if (table, field.name) in model.ALLOWED:
+                    listed = ", ".join(f"'{v}'" for v in model.ALLOWED[table, field.name])
+                    rule(table, f"allowed:{field.name}", f"select 1 from {{{table}}} where {field.name} not in ({listed})")
+                if (table, field.name) in model.WIDTHS:
+                    rule(table, f"length:{field.name}", f"select 1 from {{{table}}} where length({field.name})>{model.WIDTHS[table, field.name]}")
+        for owner, name, condition in model.CHECKS:
+            if owner == table:
+                rule(table, f"check:{name}", f"select 1 from {{{table}}} where not ({condition})")
+        for owner, c in model.UNIQUE:
+            if owner == table and has(c):
+                repeats(table, "unique:" + "+".join(c), c, "true", True)
+        for owner, c in model.UNIQUE_GROUPS:
+            if owner == table and has(c):
+                repeats(table, "unique:" + "+".join(c), c, "true", False)
+        for owner, c in model.UNIQUE_LIVE:
+            if owner == table and has(c):
+                repeats(table, "unique_live:" + "+".join(c), c, "not is_deleted", True)
+        if table == "app_user":
+            repeats(table, "unique:lower(email)", ["lower(email)"], "true", True)
+        for r in model.REFERENCES:
+            if r.child == table and r.column in columns:
+                rule(table, f"foreign_key:{r.column}", f"select 1 from {{{table}}} c where {r.column} is not null and not exists (select 1 from {{{r.parent}}} p where p.id=c.{r.column})")
+    return "select table_name, rule, cast(sum(n) as bigint) n from (" + " union all ".join(found) + ") v group by 1, 2"
+
+
+# Tables with faults of many kinds; all other tables are as derived.
+FAULTY = {
+    "reservation": BAD_RESERVATIONS, "sales_order_line": BAD_LINES,
+    "shipment": """select case when id%701=4 then null else id end id, shipment_number, case when id%409=2 then id+100000000 else sales_order_id end sales_order_id,
+        case when id%503=3 then 77 else warehouse_id end warehouse_id, carrier_id, tracking_no, ship_date, is_deleted from {shipment}""",
+}
+
+
+@query("q08_all_tables", _every_rule())
+def _(t, spark, folder):
+    return quality.all_violations(t).groupBy("table_name", "rule").agg(F.count("*").alias("n"))
+
+
+@query("q08_all_tables_faulty", _every_rule().replace("{reservation}", "{bad_reservation}").replace("{sales_order_line}", "{bad_line}").replace("{shipment}", "{bad_shipment}"),
+       bad_reservation=FAULTY["reservation"], bad_line=FAULTY["sales_order_line"], bad_shipment=FAULTY["shipment"])
+def _(t, spark, folder):
+    bad = t.replacing(**{name: asked(spark, t, folder, text) for name, text in FAULTY.items()})
+    return quality.all_violations(bad).groupBy("table_name", "rule").agg(F.count("*").alias("n"))
 
 
 @query("q09_reservation_guard", """
@@ -692,3 +764,35 @@ def _(t, spark, folder):
       rows unbounded preceding) r from {inventory_tx}) z where r<0""")
 def _(t, spark, folder):
     return doubles(quality.negative_balances(t).select("id", "running_qty"), "running_qty")
+
+
+def kept_ledger(t, spark):
+    """The ledger as it grew: a first batch closed in two steps, then a batch that also falls into closed days."""
+    rows = t["inventory_tx"].withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    store = LedgerStore(spark, f"{shared_folder(spark)}/stockloom/{spark.sparkContext.applicationId}/ledger-{os.urandom(6).hex()}", rows.schema)
+    late = F.xxhash64("id") % 5 == 0
+    store.append(rows.filter(~late), 0)
+    store.close((first + (last - first) / 4).date())
+    store.close((first + (last - first) / 2).date())
+    store.append(rows.filter(late), 1)
+    return store
+
+
+@query("q10_from_closing_balances", """
+    select coalesce(i.w, x.w) warehouse_id, coalesce(i.b, x.b) bin_id, coalesce(i.p, x.p) product_id, coalesce(i.l, x.l) lot_id,
+           cast(coalesce(i.q,0) as double) qty_on_hand, cast(coalesce(x.q,0) as double) qty_ledger, coalesce(x.n,0) n_movements
+    from (select warehouse_id w, bin_id b, product_id p, lot_id l, sum(qty_on_hand) q from {inventory} group by all) i
+    full join (select warehouse_id w, bin_id b, product_id p, lot_id l, sum(qty_delta) q, count(*) n from {inventory_tx} group by all) x
+      on i.w=x.w and i.p=x.p and i.b is not distinct from x.b and i.l is not distinct from x.l
+    where coalesce(i.q,0)<>coalesce(x.q,0)""")
+def _(t, spark, folder):
+    return doubles(quality.stock_reconciliation(t, kept_ledger(t, spark).balances()), "qty_on_hand", "qty_ledger")
+
+
+@query("v15_after_closed_days", """
+    with span as (select min(ts) a, max(ts) b from {inventory_tx}),
+    r as (select id, ts, sum(qty_delta) over (partition by warehouse_id, bin_id, product_id, lot_id order by ts, id rows unbounded preceding) q from {inventory_tx})
+    select id, cast(q as double) running_qty from r, span where cast(ts as date)>cast(a+(b-a)/2 as date)""")
+def _(t, spark, folder):
+    return doubles(kept_ledger(t, spark).running().select("id", "running_qty"), "running_qty")

@@ -1,7 +1,7 @@
-"""Tree paths and graph explosion, one level of joins at a time.
+"""Tree paths by doubling, and graph explosion one level of joins at a time.
 
-Each level is written to the shared folder before the next one starts, so the plan does not grow
-with the depth and a lost executor costs at most one level.
+Each round is written to the shared folder before the next one starts, so the plan does not grow
+with the depth and a lost executor costs at most one round.
 """
 
 from __future__ import annotations
@@ -18,31 +18,34 @@ from stockloom.session import staged
 def tree_paths(nodes: DataFrame) -> DataFrame:
     """Paths from the roots down. ``nodes``: id, code, name, parent_id.
 
-    A node appears only if all its ancestors do.
+    A node appears only if all its ancestors do; nodes of a cycle never reach a root and do not appear.
+    Each round joins every open stretch of a path with the one above it, so its length doubles: the rounds
+    are the logarithm of the depth.
     """
-    level = staged(
-        nodes.filter(F.col("parent_id").isNull()).withColumns(
-            {"path_code": F.col("code"), "path_name": F.col("name"), "depth": F.lit(0)}
-        ),
-        "tree-level",
+    root = F.col("parent_id").isNull()
+    start = nodes.select(
+        "id", "code", "name", "parent_id", F.col("parent_id").alias("_above"), F.col("code").alias("path_code"), F.col("name").alias("path_name"),
+        F.when(root, 0).otherwise(1).alias("depth"),
     )
-    levels = []
-    children = nodes.filter(F.col("parent_id").isNotNull())
-    while not level.isEmpty():
-        levels.append(level)
-        above = level.select(
-            F.col("id").alias("parent_id"), F.col("path_code").alias("_code"), F.col("path_name").alias("_name"), F.col("depth").alias("_depth")
+    stretches = staged(start, "tree-stretches")
+    done = [stretches.filter(F.col("_above").isNull())]
+    while True:
+        above = stretches.select(
+            F.col("id").alias("_id"), F.col("_above").alias("_next"), F.col("path_code").alias("_code"), F.col("path_name").alias("_name"), F.col("depth").alias("_depth")
         )
-        level = staged(
-            children.join(above, "parent_id").select(
-                "id", "code", "name", "parent_id",
-                F.concat("_code", F.lit("/"), "code").alias("path_code"),
-                F.concat("_name", F.lit("/"), "name").alias("path_name"),
-                (F.col("_depth") + 1).alias("depth"),
-            ),
-            "tree-level",
+        longer = stretches.join(above, F.col("_above") == F.col("_id")).select(
+            "id", "code", "name", "parent_id", F.col("_next").alias("_above"),
+            F.concat("_code", F.lit("/"), "path_code").alias("path_code"), F.concat("_name", F.lit("/"), "path_name").alias("path_name"),
+            (F.col("depth") + F.col("_depth")).alias("depth"),
         )
-    return reduce(DataFrame.unionByName, levels or [level])
+        longer = staged(longer, "tree-stretches")
+        finished = longer.filter(F.col("_above").isNull())
+        if finished.isEmpty():  # every depth from the least open one on is taken, so what is left hangs on no root
+            break
+        done.append(finished)
+        # Finished stretches stay as those above the open ones, and are not lengthened again.
+        stretches = staged(reduce(DataFrame.unionByName, [longer.filter(F.col("_above").isNotNull()), *done]), "tree-stretches")
+    return reduce(DataFrame.unionByName, done).drop("_above")
 
 
 def explode_graph(edges: DataFrame, max_level: int | None = None) -> DataFrame:

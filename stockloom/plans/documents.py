@@ -11,29 +11,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions.predicates import remainder
+from stockloom.operators.closure import within
 from stockloom.operators.firsts import greatest_by
 from stockloom.operators.lookup import columns_of
-from stockloom.sources.tables import Tables, active, where_in_keys
+from stockloom.sources.tables import Tables, active
 
 DOCUMENT_SOURCE = "order-fulfillment-demo"  # fixed value stored in every document
 
 
-def _for_orders(df: DataFrame, orders: DataFrame | None) -> DataFrame:
-    return df if orders is None else where_in_keys(df, orders, "sales_order_id")
+def _for_orders(t: Tables, orders: DataFrame | None) -> Tables:
+    """With ``orders``, the tables cut down to what belongs to these orders before anything is grouped or joined."""
+    return t if orders is None else within(t, "sales_order", orders, ["sales_order_line", "reservation", "shipment", "shipment_item"])
 
 
-def _order_of_line(t: Tables, orders: DataFrame | None) -> DataFrame:
-    return _for_orders(t["sales_order_line"].select(F.col("id").alias("so_line_id"), "sales_order_id"), orders)
+def _order_of_line(t: Tables) -> DataFrame:
+    return t["sales_order_line"].select(F.col("id").alias("so_line_id"), "sales_order_id")
 
 
 def document_lines(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """Order lines of active products. Reserved totals count reservations of every status."""
+    t = _for_orders(t, orders)
     totals = active(t["reservation"]).groupBy("so_line_id").agg(
         F.sum("qty_reserved").alias("_reserved"), F.sum("qty_picked").alias("_picked")
     )
     held = remainder(F.coalesce("_reserved", F.lit(0)), F.coalesce("_picked", F.lit(0)))
     return (
-        _for_orders(active(t["sales_order_line"]), orders)
+        active(t["sales_order_line"])
         .withColumnRenamed("id", "so_line_id")
         .join(totals, "so_line_id", "left")
         .join(columns_of(t["product"], "product_id", product_sku="sku", product_name="name"), "product_id")
@@ -50,9 +53,10 @@ def document_lines(t: Tables, orders: DataFrame | None = None) -> DataFrame:
 
 def document_reservations(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """Active reservations per order, including those of deleted lines."""
+    t = _for_orders(t, orders)
     return (
         active(t["reservation"])
-        .join(_order_of_line(t, orders), "so_line_id")
+        .join(_order_of_line(t), "so_line_id")
         .select(
             "sales_order_id", "id", "so_line_id", "warehouse_id", "bin_id", "product_id", "lot_id",
             F.col("qty_reserved").cast("double").alias("qty_reserved"), F.col("qty_picked").cast("double").alias("qty_picked"),
@@ -66,10 +70,11 @@ def document_picklists(t: Tables, orders: DataFrame | None = None) -> DataFrame:
 
     The choice ignores deletion; a deleted choice then leaves the order without a picklist.
     """
+    t = _for_orders(t, orders)
     chosen = (
         t["pick_item"].select("picklist_id", F.col("reservation_id").alias("id"))
         .join(t["reservation"].select("id", "so_line_id"), "id")
-        .join(_order_of_line(t, orders), "so_line_id")
+        .join(_order_of_line(t), "so_line_id")
         .groupBy("sales_order_id")
         .agg(F.min("picklist_id").alias("picklist_id"))
     )
@@ -90,7 +95,8 @@ def document_pick_items(t: Tables, orders: DataFrame | None = None, picklists: D
 
 def document_shipments(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """The latest active shipment per order; one without a date counts as latest."""
-    shipments = _for_orders(active(t["shipment"]), orders).join(
+    t = _for_orders(t, orders)
+    shipments = active(t["shipment"]).join(
         columns_of(t["warehouse"], "warehouse_id", live=False, warehouse_code="code"), "warehouse_id"
     )
     latest = greatest_by(
@@ -116,8 +122,12 @@ def _listed(**fields: str) -> Column:
 
 
 def order_fulfillment_doc(t: Tables, orders: DataFrame | None = None) -> DataFrame:
-    """Header, lines, reservations, picklist with items, shipment with items. No children gives null."""
-    lines = document_lines(t, orders).groupBy("sales_order_id").agg(
+    """Header, lines, reservations, picklist with items, shipment with items. No children gives null.
+
+    With ``orders``, only documents of these order ids; every child table is cut down to them first.
+    """
+    t = _for_orders(t, orders)
+    lines = document_lines(t).groupBy("sales_order_id").agg(
         _listed(
             lineId="line_id", lineNo="line_no", productId="product_id", productSku="product_sku", productName="product_name", uomId="uom_id",
             uomCode="uom_code", qtyOrdered="qty_ordered", qtyReservedOpen="qty_reserved_open", qtyToReserve="qty_to_reserve",
@@ -127,7 +137,7 @@ def order_fulfillment_doc(t: Tables, orders: DataFrame | None = None) -> DataFra
     warehouses = columns_of(t["warehouse"], "warehouse_id", live=False, warehouse_code="code")
     first = F.struct(F.col("created_at").isNull(), "created_at", "id", "warehouse_id", "warehouse_code")
     reservations = (
-        document_reservations(t, orders)
+        document_reservations(t)
         .join(warehouses, "warehouse_id", "left")
         .groupBy("sales_order_id")
         .agg(
@@ -139,7 +149,7 @@ def order_fulfillment_doc(t: Tables, orders: DataFrame | None = None) -> DataFra
         )
     )
 
-    picklists = document_picklists(t, orders)
+    picklists = document_picklists(t)
     pick_items = document_pick_items(t, picklists=picklists).groupBy("sales_order_id").agg(
         _listed(
             id="id", reservationId="reservation_id", binId="bin_id", productId="product_id", lotId="lot_id", qtyToPick="qty_to_pick",
@@ -153,7 +163,7 @@ def order_fulfillment_doc(t: Tables, orders: DataFrame | None = None) -> DataFra
         ).alias("picklist"),
     )
 
-    shipments = document_shipments(t, orders)
+    shipments = document_shipments(t)
     shipment_items = document_shipment_items(t, shipments=shipments).groupBy("sales_order_id").agg(
         _listed(id="id", productId="product_id", lotId="lot_id", qtyShipped="qty_shipped").alias("items")
     )
@@ -167,7 +177,7 @@ def order_fulfillment_doc(t: Tables, orders: DataFrame | None = None) -> DataFra
         ).alias("shipment"),
     )
 
-    headers = _for_orders(active(t["sales_order"]).withColumnRenamed("id", "sales_order_id"), orders)
+    headers = active(t["sales_order"]).withColumnRenamed("id", "sales_order_id")
     return (
         headers.join(columns_of(t["customer"], "customer_id", customer_name="name"), "customer_id")
         .join(lines, "sales_order_id", "left")

@@ -79,16 +79,19 @@ def already_stored(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str], request: str) -> tuple[DataFrame, DataFrame]:
     """The rows that take their key first, and the ``request`` of every other row; null keys are exempt.
 
-    Firsts are found by an aggregate over whole rows, so a key repeated very often costs no more. The
-    others are told by occurrence: a row that repeats the first in every column is one of them, while
+    Firsts are found by an aggregate over whole rows, so a key repeated very often costs no more; only rows
+    of repeated keys are looked at again. The others are told by occurrence: a row that repeats the first in every column is one of them, while
     the first itself stays. ``request`` alone must therefore not be used to take the others away.
     """
     place = list(dict.fromkeys([*order, request, *df.columns]))
     keyed = df.dropna(subset=list(keys))
-    grouped = keyed.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min(F.struct(*place)).alias("_first"))
-    firsts = staged(grouped.select("_first.*").select(*df.columns), "firsts")
+    grouped = keyed.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min(F.struct(*place)).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    grouped = staged(grouped, "firsts")
+    firsts = grouped.select("_first.*").select(*df.columns)
     unkeyed = df.filter(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]))
-    return firsts.unionByName(unkeyed), keyed.select(request).exceptAll(firsts.select(request))
+    repeated = grouped.filter("_rows > 1")
+    again = keyed.join(repeated.select(*[f"_key_{k}" for k in keys]), [F.col(k) == F.col(f"_key_{k}") for k in keys], "left_semi")
+    return firsts.unionByName(unkeyed), again.select(request).exceptAll(repeated.select(F.col(f"_first.{request}").alias(request)))
 
 
 def stamped(df: DataFrame, run_ts: Column, **values: Column) -> DataFrame:

@@ -66,6 +66,29 @@ def foreign_keys(t: Tables, table: str, rows: DataFrame | None = None) -> DataFr
     return reduce(DataFrame.unionByName, checks) if checks else None
 
 
+def all_foreign_keys(t: Tables, tables: Iterable[str] = tuple(SCHEMAS)) -> DataFrame:
+    """Q6 for many tables at once: each is read once, for all its references, and one join tests them all.
+
+    Null references are left out before the shuffle. Ids are compared as text.
+    """
+    asked, parents = [], set()
+    for table in tables:
+        rows = t[table]
+        own = [r for r in REFERENCES if r.child == table and r.column in rows.columns]
+        if not own:
+            continue
+        parents |= {r.parent for r in own}
+        pointers = [F.struct(F.lit(r.parent).alias("parent"), F.lit(r.column).alias("column"), F.col(r.column).cast("string").alias("key")) for r in own]
+        pointer = F.explode(F.filter(F.array(*pointers), lambda p: p["key"].isNotNull())).alias("_p")
+        asked.append(rows.select(F.lit(table).alias("table_name"), F.col("id").cast("string").alias("id"), pointer).select("table_name", "id", "_p.*"))
+    known = [t[p].select(F.lit(p).alias("parent"), F.col("id").cast("string").alias("key")) for p in sorted(parents)]
+    orphans = reduce(DataFrame.unionByName, asked).join(reduce(DataFrame.unionByName, known), ["parent", "key"], "left_anti")
+    return orphans.select(
+        "table_name", F.concat(F.lit("foreign_key:"), "column").alias("rule"), F.col("id").alias("row_id"), F.lit("FOREIGN_KEY_VIOLATION").alias("reject_code"),
+        F.lit(1).cast("bigint").alias("n_rows"),
+    )
+
+
 def _broken_rules(df: DataFrame, table: str) -> list[Column]:
     """One (rule, code) struct per rule that a single row can break; null where the row keeps it."""
     failed: list[Column] = []
@@ -116,21 +139,25 @@ def insert_fault(t: Tables, table: str, rows: DataFrame, into: str = "_fault") -
 
 def table_violations(t: Tables, table: str) -> DataFrame:
     """All declared rules of one table."""
+    return _own_violations(t, table).unionByName(all_foreign_keys(t, [table])) if any(r.child == table for r in REFERENCES) else _own_violations(t, table)
+
+
+def _own_violations(t: Tables, table: str) -> DataFrame:
+    """The rules that need no other table."""
     df = t[table]
     parts = [primary_key(df, table), row_rules(df, table)]
     parts += [repeated(df, table, c) for owner, c in UNIQUE if owner == table and set(c) <= set(df.columns)]
-    parts += [repeated(df, table, c, nulls_count=True) for owner, c in UNIQUE_GROUPS if owner == table]
-    parts += [repeated(active(df), table, c, rule="unique_live:" + "+".join(c)) for owner, c in UNIQUE_LIVE if owner == table]
+    parts += [repeated(df, table, c, nulls_count=True) for owner, c in UNIQUE_GROUPS if owner == table and set(c) <= set(df.columns)]
+    parts += [repeated(active(df), table, c, rule="unique_live:" + "+".join(c)) for owner, c in UNIQUE_LIVE if owner == table and set(c) <= set(df.columns)]
     if table == "app_user":
         parts.append(email_ignoring_case(df))
-    references = foreign_keys(t, table)
-    if references is not None:
-        parts.append(references)
     return reduce(DataFrame.unionByName, parts)
 
 
 def all_violations(t: Tables, tables: Iterable[str] = tuple(SCHEMAS)) -> DataFrame:
-    return reduce(DataFrame.unionByName, [table_violations(t, table) for table in tables])
+    """Every declared rule of every table; the references of all tables are tested together."""
+    tables = list(tables)
+    return reduce(DataFrame.unionByName, [_own_violations(t, table) for table in tables]).unionByName(all_foreign_keys(t, tables))
 
 
 def reservation_guard(t: Tables) -> DataFrame:
@@ -157,13 +184,17 @@ def reservation_guard(t: Tables) -> DataFrame:
     return _violation(bad, "reservation", F.lit("reservation_guard"), F.col("id"), F.col("_code"))
 
 
-def stock_reconciliation(t: Tables) -> DataFrame:
+def stock_reconciliation(t: Tables, balances: DataFrame | None = None) -> DataFrame:
     """Q10: per bucket, stock on hand against the sum of its ledger, where they differ.
 
-    A difference without any ledger row is an opening balance.
+    A difference without any ledger row is an opening balance. ``balances`` (bucket columns, qty,
+    n_movements; see ``LedgerStore.balances``) takes the place of summing the whole ledger.
     """
     stock = t["inventory"].groupBy(bucket().alias("bucket")).agg(F.sum("qty_on_hand").alias("qty_on_hand"))
-    ledger = t["inventory_tx"].groupBy(bucket().alias("bucket")).agg(F.sum("qty_delta").alias("qty_ledger"), F.count("*").alias("n_movements"))
+    if balances is None:
+        ledger = t["inventory_tx"].groupBy(bucket().alias("bucket")).agg(F.sum("qty_delta").alias("qty_ledger"), F.count("*").alias("n_movements"))
+    else:
+        ledger = balances.select(bucket().alias("bucket"), F.col("qty").alias("qty_ledger"), "n_movements")
     return (
         stock.join(ledger, "bucket", "full")
         .select(

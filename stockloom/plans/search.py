@@ -33,23 +33,43 @@ def token_search(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def similar_names(names: DataFrame, queries: DataFrame, at_least: float = 0.3) -> DataFrame:
-    """names whose trigrams overlap those of a query: shared / (both together), from ``at_least`` up.
+    """names whose trigrams overlap those of a query: shared / (both together), from ``at_least`` (over 0) up.
 
-    ``names``: id, name. ``queries``: query_id, query. Equal names are compared once: the join runs
-    over distinct names and the ids are attached afterwards.
+    ``names``: id, name. ``queries``: query_id, query. Equal names are compared once, and only with the
+    queries that ``name_candidates`` leaves; the ids are attached afterwards.
     """
-    distinct = names.select("name").distinct().withColumn("_grams", trigrams(F.col("name")))
-    grams = distinct.select("name", F.size("_grams").alias("_size"), F.explode("_grams").alias("gram"))
-    asked = queries.withColumn("_grams", trigrams(F.col("query"))).select(
-        "query_id", F.size("_grams").alias("_asked"), F.explode("_grams").alias("gram")
-    )
-    shared = grams.join(asked, "gram").groupBy("query_id", "name").agg(
-        F.count("*").alias("_shared"), F.max("_size").alias("_size"), F.max("_asked").alias("_asked")
-    )
-    scored = shared.withColumn("similarity", F.col("_shared") / (F.col("_size") + F.col("_asked") - F.col("_shared")))
+    distinct, asked, pairs = name_candidates(names, queries, at_least)
+    both = pairs.join(distinct, "name").join(asked, "query_id")
+    shared = F.size(F.array_intersect("_grams", "_asked"))
+    scored = both.withColumn("similarity", shared / (F.size("_grams") + F.size("_asked") - shared))
     return scored.filter(F.col("similarity") >= at_least).join(names, "name").select("query_id", "id", "name", "similarity")
 
 
+def name_candidates(names: DataFrame, queries: DataFrame, at_least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Names with their trigrams, queries with theirs, and the pairs (query_id, name) that can be similar.
+
+    Two sets of similarity t hold at least t times the larger one in common. So a pair is left out if one set
+    is shorter than t times the other; and as each set can miss only part of the common trigrams, a similar
+    pair shares one among the first of both in one fixed order. With the rarest trigrams first, common ones
+    bring no pairs together. No similar pair is lost.
+    """
+    distinct = names.select("name").distinct().withColumn("_grams", trigrams(F.col("name")))
+    asked = queries.select("query_id", trigrams(F.col("query")).alias("_asked"))
+    rarity = distinct.select(F.explode("_grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("_held"))
+
+    def first_grams(rows: DataFrame, key: str, grams: str, size: str) -> DataFrame:
+        """(key, size, gram) for the first trigrams of each set; its size less what a similar set must share, and one."""
+        each = rows.select(key, F.size(grams).alias(size), F.explode(grams).alias("gram")).join(rarity, "gram", "left")
+        ordered = each.groupBy(key, size).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_held", F.lit(0)), "gram"))).alias("_in_order"))
+        kept = F.col(size) - F.ceil(F.col(size) * at_least - 1e-9) + 1
+        return ordered.select(key, size, F.explode(F.slice("_in_order", F.lit(1), kept.cast("int"))).alias("_g")).select(key, size, F.col("_g.gram").alias("gram"))
+
+    left = first_grams(distinct, "name", "_grams", "_size")
+    right = first_grams(asked, "query_id", "_asked", "_n")
+    long_enough = (F.least("_size", "_n") + 1e-9) >= F.greatest("_size", "_n") * at_least
+    return distinct, asked, left.join(right, "gram").filter(long_enough).select("query_id", "name").distinct()
+
+
 def json_equals(column: str, path: str, value: str) -> Column:
     """the JSON text holds ``value`` at ``path``."""
     return F.get_json_object(F.col(column), path) == F.lit(value)

@@ -13,6 +13,7 @@ from stockloom.functions.text import search_tokens
 from stockloom.model import BUCKET
 from stockloom.operators.hierarchy import explode_graph, tree_paths
 from stockloom.operators.lookup import columns_of
+from stockloom.operators.closure import within
 from stockloom.operators.running import SLICE_ROWS, running_totals
 from stockloom.sources.tables import Tables, active, where_in_keys
 
@@ -169,10 +170,10 @@ def so_line_reservations(t: Tables) -> DataFrame:
 
 
 def so_line_open(t: Tables, orders: DataFrame | None = None) -> DataFrame:
-    """Sales lines that still need stock, optionally of the given order ids only."""
-    lines = active(t["sales_order_line"])
+    """Sales lines that still need stock; with ``orders``, of these order ids only, whose reservations alone are grouped."""
     if orders is not None:
-        lines = where_in_keys(lines, orders, "sales_order_id")
+        t = within(t, "sales_order", orders, ["sales_order_line", "reservation"])
+    lines = active(t["sales_order_line"])
     headers = columns_of(
         active(t["sales_order"]).filter(in_status("status", SO_OPEN)), "sales_order_id",
         so_number="so_number", customer_id="customer_id", so_status="status", order_date="order_date",
