@@ -28,6 +28,9 @@ COMMON_WORDS = (
 # Symbols counted as noise, and the character classes of the histogram besides white space and the rest.
 SYMBOLS = r"#*$%&|<>"
 CLASSES = ("aeiou", "b-df-hj-np-tv-z", "A-Z", "0-9", r"\x{80}-\x{10FFFF}", r".,;:!?'\"()\-")
+# The classes do not overlap. Letters go first, as they leave little of the text to later passes.
+_LETTERS = "a-z"
+_AFTER_LETTERS = (SPACES, *CLASSES[2:])
 
 WINDOW = 8
 PROBES = (0, 2, 3, 5, 7)
@@ -78,36 +81,48 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("_words", word_list("_text")).withColumn("_lines", lines)
     chars = F.length(text).cast("long")
     rows = _repeat_words(rows)
-    mark = lambda word: F.substring(F.lit(_MARKS), F.array_position(F.array(*[F.lit(w) for w in COMMON_WORDS]), word) + 1, F.lit(1))
+    # Only common words get a mark; the others are counted as the difference.
+    mark = lambda word: F.substring(F.lit(_MARKS), F.array_position(F.array(*[F.lit(w) for w in COMMON_WORDS]), word).cast("int"), F.lit(1))
     longest = max(map(len, COMMON_WORDS))
-    marks = F.transform("_words", lambda word: F.when(F.length(word) <= longest, mark(F.lower(word))).otherwise(_MARKS[0]))
-    rows = rows.withColumn("_marks", F.array_join(marks, ""))
-    classes = [length_of_class(text, c) for c in CLASSES]
-    white = length_of_class(text, SPACES)
+    short = F.transform(F.filter("_words", lambda word: F.length(word) <= longest), F.lower)
+    common = F.filter(short, lambda word: word.isin(*COMMON_WORDS))
+    rows = rows.withColumn("_marks", F.array_join(F.transform(common, mark), ""))
     rows = rows.select(
         "doc_id",
         "lang",
+        "_text",
         F.size("_words").cast("long").alias("n_words"),
         chars.alias("_chars"),
-        white.alias("_white"),
-        length_of_class(text, SYMBOLS).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.array(*classes).alias("_classes"),
-        F.array(*[(F.length("_marks") - F.length(F.replace(F.col("_marks"), F.lit(m)))).cast("long") for m in _MARKS[: len(COMMON_WORDS) + 1]]).alias("word_hist"),
+        "_marks",
     )
-    named = F.aggregate("_classes", F.lit(0).cast("long"), lambda total, x: total + x)
+    without_vowels = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), CLASSES[0], text)
+    rows = rows.select("*", F.length(without_vowels).cast("long").alias("_no_vowels"), F.regexp_replace(text, f"[{_LETTERS}]+", "").alias("_rest")).drop("_text")
+    # Each pass works on what the one before it has left.
+    left = ["_no_letters"]
+    rows = rows.withColumn(left[0], F.length("_rest").cast("long"))
+    for k, members in enumerate(_AFTER_LETTERS):
+        left.append(f"_left{k}")
+        rows = rows.withColumn("_rest", F.regexp_replace("_rest", f"[{members}]+", ""))
+        rows = rows.withColumn(left[-1], F.length("_rest").cast("long"))
+    rows = rows.withColumn("n_symbols", length_of_class(F.col("_rest"), SYMBOLS)).drop("_rest")
+    removed = [F.col(a) - F.col(b) for a, b in zip(left, left[1:])]
+    white, others = removed[0], removed[1:]
+    vowels = F.col("_chars") - F.col("_no_vowels")
+    consonants = F.col("_chars") - F.col("_no_letters") - vowels
+    of_mark = [(F.length("_marks") - F.length(F.replace(F.col("_marks"), F.lit(m)))).cast("long") for m in _MARKS[: len(COMMON_WORDS)]]
     return rows.select(
         "doc_id",
         "lang",
         "n_words",
-        (F.col("_chars") - F.col("_white")).alias("word_chars"),
+        (F.col("_chars") - white).alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)).alias("base_failed"),
-        F.concat("_classes", F.array(F.col("_white"), F.col("_chars") - F.col("_white") - named)).alias("char_hist"),
-        "word_hist",
+        F.array(vowels, consonants, *others, white, F.col(left[-1])).alias("char_hist"),
+        F.array(F.col("n_words") - F.length("_marks"), *of_mark).alias("word_hist"),
     )
 
 
