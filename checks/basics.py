@@ -215,7 +215,7 @@ def _(t, spark, folder):
 
 @query("p13_lower_email", "select id, lower(email) email from {app_user}")
 def _(t, spark, folder):
-    return t["app_user"].select("id", F.lower("email").alias("email"))
+    return tables.lowered(t["app_user"], "app_user").select("id", "email")
 
 
 # --- joins ----------------------------------------------------------------------------------------

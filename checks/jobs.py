@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.registry import RUN_TS, doubles, query
@@ -69,6 +72,52 @@ def _(t, spark, folder):
     return outcomes(done.inserts["shipment"], "created", done.rejects)
 
 
+# Headers of the other kinds: some ids twice, some parents unknown.
+def _header_requests(columns: str, bad: str, key: str = "o_orderkey", source: str = "src_orders") -> str:
+    return f"""select concat('H',cast(case when {key}%11=3 then {key}-1 else {key} end as string)) id, {key} seq, {columns}, {bad} bad from {{{source}}}"""
+
+
+OTHER_HEADERS = {
+    "purchase_order": _header_requests(
+        "cast(case when o_orderkey%53=1 then -1 else o_orderkey%10 end as string) supplier_id, cast(o_orderdate as date) order_date, 'EUR' currency", "o_orderkey%53=1"),
+    "receipt": _header_requests(
+        "cast(case when id%59=1 then -1 else id end as string) purchase_order_id, cast(id%5 as string) warehouse_id", "id%59=1", "id", "purchase_order"),
+    "package": _header_requests(
+        "cast(o_orderkey as string) sales_order_id, cast(case when o_orderkey%61=1 then 99 else o_orderkey%5 end as string) warehouse_id", "o_orderkey%61=1"),
+    "transfer_order": _header_requests(
+        "cast(o_orderkey%5 as string) from_warehouse_id, cast(case when o_orderkey%67=1 then 99 else (o_orderkey+1)%5 end as string) to_warehouse_id", "o_orderkey%67=1"),
+}
+
+
+def _headers_sql() -> str:
+    parts = []
+    for kind, status in (("purchase_order", "'DRAFT'"), ("receipt", "null"), ("package", "'OPEN'"), ("transfer_order", "'DRAFT'")):
+        repeats = "false" if kind == "purchase_order" else "rn>1"  # an order whose id is known is left as it is
+        parts.append(f"""
+            select '{kind}' kind, id, 'created' outcome, {status} status, '7' created_by, {'true' if kind in ('receipt', 'transfer_order') else 'false'} timed
+            from (select *, row_number() over (partition by id order by seq) rn from {{{kind}_requests}} where not bad) a where rn=1
+            union all select '{kind}', id, min(code), null, null, false from (
+              select id, case when bad then 'FOREIGN_KEY_VIOLATION' else 'UNIQUE_VIOLATION' end code
+              from (select *, row_number() over (partition by id, bad order by seq) rn from {{{kind}_requests}}) b where bad or {repeats}) c group by id""")
+    return " union all ".join(parts)
+
+
+@query("b01_create_other_headers", _headers_sql(), **{f"{kind}_requests": text for kind, text in OTHER_HEADERS.items()})
+def _(t, spark, folder):
+    texts, parts = with_text_ids(t), []
+    for kind, text in OTHER_HEADERS.items():
+        requests = asked(spark, t, folder, text).drop("bad")
+        done = intake.create_headers(texts, kind, requests, run_time()).signed(texts, F.lit("7"))
+        rows = done.inserts[kind]
+        state = F.col("status") if "status" in rows.columns else F.lit(None).cast("string")
+        moment = [c for c in ("received_at", "requested_at") if c in rows.columns]
+        timed = (F.col(moment[0]) == run_time()) if moment else F.lit(False)
+        parts.append(rows.select(F.lit(kind).alias("kind"), "id", F.lit("created").alias("outcome"), state.alias("status"), "created_by", timed.alias("timed")))
+        none = F.lit(None).cast("string")
+        parts.append(done.rejects.select(F.lit(kind), "request_id", "reject_code", none, none, F.lit(False)).toDF(*parts[0].columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
 NEW_LINES = """
     select concat('L',cast(id as string)) id, cast(sales_order_id as string) sales_order_id, (id*7)%1000003 seq,
            case when id%101=7 then 'none' else cast(product_id as string) end product_id, cast(uom_id as string) uom_id, qty_ordered, price_per_uom
@@ -106,6 +155,12 @@ def _(t, spark, folder):
     return intake.approve(t, "sales_order", t["sales_order"].filter("id % 3 <> 1").select("id"), run_time()).changes["sales_order"].select("id", "status")
 
 
+@query("b04_approved_by", "select id, '7' updated_by from {sales_order} where status='DRAFT' and not is_deleted")
+def _(t, spark, folder):
+    done = intake.approve(t, "sales_order", t["sales_order"].select("id"), run_time()).signed(t, F.lit("7"))
+    return done.changes["sales_order"].select("id", "updated_by")
+
+
 # --- receiving ------------------------------------------------------------------------------------
 
 RECEIPTS = """
@@ -420,6 +475,15 @@ def _(t, spark, folder):
     return doubles(stock, "qty_on_hand")
 
 
+@query("b08_stock_signed", """
+    select m.b, max(case when s.b is null then '7' end) created_by, max(case when s.b is not null then '7' end) updated_by
+    from {moves} m join {fold} f on f.id=m.id and f.ok left join {stock} s on s.b=m.b group by m.b""", **POSTING)
+def _(t, spark, folder):
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in BUCKET]
+    stock = posting(t).signed(t, F.lit("7")).changes["inventory"]
+    return stock.select(F.concat_ws("/", *parts).alias("b"), "created_by", "updated_by")
+
+
 ADJUST = """
     select concat('A',cast(event_id as string)) id, ts, user_id%5 warehouse_id, cast(null as int) bin_id, 1+user_id%7 product_id, cast(null as bigint) lot_id,
            cast(case when event_id%40=0 then 0 else value-60 end as decimal(18,3)) qty_delta, event_type ref_type, event_id ref_id

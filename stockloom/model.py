@@ -162,6 +162,11 @@ DEFAULTS: dict[str, dict[str, object]] = {
 }
 
 
+# Columns whose default is the time of the run, and text columns kept in lower case.
+TIMED = ("created_at", "received_at", "requested_at")
+LOWERED = {"app_user": ("email",)}
+
+
 @dataclass(frozen=True)
 class Reference:
     child: str

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockloom.model import SCHEMAS
 from stockloom.plans.quality import with_class
 from stockloom.session import staged
 from stockloom.sources.tables import Tables
@@ -24,6 +25,31 @@ class JobResult:
     inserts: Mapping[str, DataFrame] = field(default_factory=dict)
     changes: Mapping[str, DataFrame] = field(default_factory=dict)
 
+    def signed(self, t: Tables, user: Column) -> JobResult:
+        """The same result with the user who ran the job: ``created_by`` of new rows that name nobody, ``updated_by`` of changed ones.
+
+        ``changes`` may hold new rows (stock of a bucket that had none); those that ``t`` lacks count as new.
+        """
+        inserts = {}
+        for table, rows in self.inserts.items():
+            if "created_by" in SCHEMAS[table].names:
+                rows = rows.withColumn("created_by", F.coalesce("created_by", user) if "created_by" in rows.columns else user)
+            inserts[table] = rows
+        changes = {}
+        for table, rows in self.changes.items():
+            if "updated_by" in SCHEMAS[table].names:
+                known = t[table].select(F.col("id").cast("string").alias("_known"))
+                known = known.join(rows.select(F.col("id").cast("string").alias("_known")), "_known", "left_semi").distinct()
+                rows = rows.join(known, F.col("id").cast("string") == F.col("_known"), "left")
+                old = F.col("_known").isNotNull()
+                before = {c: F.col(c) if c in rows.columns else F.lit(None) for c in ("created_by", "updated_by")}
+                rows = rows.withColumns({
+                    "created_by": F.when(old, before["created_by"]).otherwise(F.coalesce(before["created_by"], user)),
+                    "updated_by": F.when(old, user).otherwise(before["updated_by"]),
+                }).drop("_known")
+            changes[table] = rows
+        return JobResult(self.rejects, inserts, changes)
+
     def applied(self, t: Tables) -> Tables:
         """The tables as they stand after the job."""
         changed = {table: apply_changes(t[table], rows) for table, rows in self.changes.items()}

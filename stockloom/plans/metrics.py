@@ -37,4 +37,10 @@ def customer_metrics(counters: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def order_states(events: DataFrame) -> DataFrame:
+    """The last state of every fulfilled order."""
     return events.select("order_id").distinct().withColumn("status", F.lit(SHIPPED))
+
+
+def state_of_orders(states: DataFrame, orders: DataFrame) -> DataFrame:
+    """The state of each of the given orders (order_id); null for one that was not counted."""
+    return orders.select("order_id").join(states, "order_id", "left").select("order_id", "status")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from stockloom.model import DEFAULTS, SCHEMAS
+from stockloom.model import DEFAULTS, LOWERED, SCHEMAS, TIMED
 
 
 class Tables(Mapping):
@@ -105,21 +105,27 @@ def snake_columns(df: DataFrame) -> DataFrame:
 
 
 def with_defaults(df: DataFrame, table: str, run_ts: Column, user: Column | None = None) -> DataFrame:
-    """Fill what an insert may leave out: state, zero quantities, audit columns."""
+    """Fill what an insert may leave out: state, zero quantities, times, audit columns; P13 applies too."""
     schema = SCHEMAS[table]
-    filled = df
+    filled = lowered(df, table)
     for name, value in DEFAULTS.get(table, {}).items():
         default = F.lit(value).cast(schema[name].dataType)
         filled = filled.withColumn(name, F.coalesce(F.col(name), default) if name in df.columns else default)
     if "is_deleted" in schema.names:
         filled = filled.withColumn("is_deleted", F.coalesce("is_deleted", F.lit(False)) if "is_deleted" in df.columns else F.lit(False))
-    if "created_at" in schema.names:
-        filled = filled.withColumn("created_at", F.coalesce("created_at", run_ts) if "created_at" in df.columns else run_ts)
-    if user is not None and "created_by" in schema.names and "created_by" not in df.columns:
-        filled = filled.withColumn("created_by", user)
+    for name in TIMED:
+        if name in schema.names:
+            filled = filled.withColumn(name, F.coalesce(name, run_ts) if name in df.columns else run_ts)
+    if user is not None and "created_by" in schema.names:
+        filled = filled.withColumn("created_by", F.coalesce("created_by", user) if "created_by" in df.columns else user)
     return filled
 
 
+def lowered(df: DataFrame, table: str) -> DataFrame:
+    """The rows as they are written, with the columns that are kept in lower case turned so."""
+    return df.withColumns({c: F.lower(c) for c in LOWERED.get(table, ()) if c in df.columns})
+
+
 def completed(df: DataFrame, table: str) -> DataFrame:
     """The row with every column of ``table``; those it does not have are null."""
     missing = {f.name: F.lit(None).cast(f.dataType) for f in SCHEMAS[table] if f.name not in df.columns}
