@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockloom.llm.words import text_or_empty
+from stockloom.operators.running import ranks
 from stockloom.session import staged
 
 ROLES = ("system", "user", "assistant")
@@ -106,8 +107,9 @@ def fit(lines: DataFrame) -> Model:
 
 
 def held_out(conv: str) -> Column:
-    """True for the conversations the model must not learn from."""
-    return F.coalesce(F.crc32(F.col(conv).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    """True for the conversations (by their key, see ``as_turns``) the model must not learn from; false for that without an id."""
+    named = F.col(conv).startswith("=")
+    return named & (F.crc32(F.substr(F.col(conv), F.lit(2)).cast("binary")) % 4 == 2)
 
 
 def _forward(model: Model, scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,11 +194,12 @@ def _decode(model: Model):
 def lines_of(turns: DataFrame) -> DataFrame:
     """One row per line of (conv, turn, turn_key, role, text): its place, block and features.
 
-    A line's place ``line`` sorts as text in reading order: turn, key of equal turns, line number.
+    A line's place ``line`` sorts as text in reading order: turn, digest of the turn, line number. A block holds
+    ``BLOCK_TURNS`` turns, whatever their numbers are.
     """
     rows = turns.select("*", F.posexplode(F.split(text_or_empty("text"), "\r\n|\r|\n")).alias("at", "content"))
-    place = F.format_string("%020d/%s/%010d", F.col("turn") + (1 << 62), F.col("turn_key"), F.col("at"))
-    block = F.floor(F.col("turn") / BLOCK_TURNS).cast("long")
+    place = F.format_string("%020d/%s/%010d", F.col("turn"), F.col("turn_key"), F.col("at"))
+    block = F.floor((F.col("turn") - 1) / BLOCK_TURNS).cast("long")
     return rows.select("conv", "turn", "turn_key", "role", "at", "content", place.alias("line"), block.alias("block"), features(F.col("content")).alias("seen"))
 
 
@@ -237,17 +240,27 @@ def rendered(lines: DataFrame) -> DataFrame:
 
 
 def as_turns(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Turns in reading order. Null turns come last; turns of one number are ordered by a digest of role and text.
+    """Turns in reading order: conv (key of the conversation), turn (from 1), turn_key, role and text.
 
-    Rows equal in all of these are one turn. Null conversations are one conversation, null texts are empty.
+    Null turns come last; turns of one number are ordered by a digest of role and text, and each repeated row is
+    a turn of its own. The key of a conversation is "=" and its id as text; rows without a conversation are one
+    conversation with the key "~". Null texts are empty. A long conversation is numbered in slices.
     """
+    conv = F.col(conv_col).cast("string")
+    role, text = F.col(role_col), text_or_empty(text_col)
     rows = conversations.select(
-        F.coalesce(F.col(conv_col), F.lit(-1)).alias("conv") if dict(conversations.dtypes)[conv_col] != "string" else F.coalesce(F.col(conv_col), F.lit("")).alias("conv"),
-        F.coalesce(F.col(turn_col).cast("long"), F.lit(1 << 61)).alias("turn"),
-        F.col(role_col).alias("role"),
-        text_or_empty(text_col).alias("text"),
+        F.when(conv.isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), conv)).alias("conv"),
+        F.coalesce(F.col(turn_col).cast("long"), F.lit((1 << 63) - 1)).alias("given"),
+        F.substring(F.md5(F.concat_ws("/", role, text)), 1, 16).alias("turn_key"),
+        role.alias("role"),
+        text.alias("text"),
     )
-    return rows.withColumn("turn_key", F.substring(F.md5(F.concat_ws("/", "role", "text")), 1, 16)).distinct()
+    return ranks(rows, ["conv"], ["given", "turn_key"], "turn").drop("given")
+
+
+def conversation_id(key: str, kind: str) -> Column:
+    """The id of a conversation from its key."""
+    return F.when(F.col(key).startswith("="), F.substr(F.col(key), F.lit(2))).cast(kind)
 
 
 # Marker styles of the transcripts that with_markers writes.
@@ -274,13 +287,15 @@ def with_markers(turns: DataFrame, *, unmarked: int = 4) -> DataFrame:
 def parse_conversations(conversations: DataFrame, **columns) -> DataFrame:
     """Recover and render the turns of conversations written as raw transcripts.
 
-    One row per recovered turn: conv_id, opened (place of its first line), role, text, rendered, n_lines,
-    n_right (lines whose role is the true one) and held_out. An empty table gives an empty result.
+    One row per recovered turn: conv_id (null for rows without one, which are one conversation), opened (place
+    of its first line), role, text, rendered, n_lines, n_right (lines whose role is the true one) and
+    held_out. No turn is lost, repeated rows included. An empty table gives an empty result.
     """
+    kind = dict(conversations.dtypes)[columns.get("conv_col", "conv_id")]
     lines = staged(lines_of(with_markers(as_turns(conversations, **columns))), "chat-lines")
     model = fit(lines)
     found = staged(recovered(lines, model), "chat-recovered")
     true = F.element_at(F.array(*[F.lit(r) for r in ROLES]), (F.floor(F.col("state") / 2) + 1).cast("int")) == F.col("role")
     right = found.groupBy(F.col("conv").alias("_conv"), F.col("opened").alias("_opened")).agg(F.sum(F.coalesce(true, F.lit(False)).cast("long")).alias("n_right"))
     turns = rendered(found).join(right, (F.col("conv") == F.col("_conv")) & (F.col("opened") == F.col("_opened")))
-    return turns.select(F.col("conv").alias("conv_id"), "opened", "role", "text", "rendered", "n_lines", "n_right", held_out("conv").alias("held_out"))
+    return turns.select(conversation_id("conv", kind).alias("conv_id"), "opened", "role", "text", "rendered", "n_lines", "n_right", held_out("conv").alias("held_out"))

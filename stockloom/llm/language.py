@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from stockloom.llm.words import unused
+from stockloom.session import staged
+
 DIMENSIONS = 4096
 PER_LANGUAGE = 250
 UNKNOWN = "und"
@@ -156,7 +159,8 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     share = F.conv(F.substring("_draw", 1, 12), 16, 10).cast("long") / float(1 << 48)
     labelled = labelled.join(counts, F.col("_lang") == F.col("_label")).filter(share * F.col("_of_label") < 4 * per_language + 100)
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_draw", "_id"))
-    sample = labelled.withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select("_id", "_lang")
+    # Written first: its size is known then, and the texts are filtered where they are read instead of shuffled.
+    sample = staged(labelled.withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select("_id", "_lang"), "language-sample")
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(lang_col).alias("_doc_lang"), F.col(text_col).alias("_text"))
     chosen = texts.join(sample, (F.col("_doc") == F.col("_id")) & (F.col("_doc_lang") == F.col("_lang")))
     # Rows that repeat an id and label are one of the sample.
@@ -190,5 +194,6 @@ def identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def with_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.0) -> DataFrame:
     """The documents with a recognised language, all their columns unchanged: ``und`` and scores below ``min_score`` go."""
     predict = predictor(learn(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
-    marked = docs.withColumn("_language", predict(F.col(text_col)))
-    return marked.filter((F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= min_score)).drop("_language")
+    found = unused(docs, "found_language")[0]
+    marked = docs.withColumn(found, predict(F.col(text_col)))
+    return marked.filter((F.col(found)["lang"] != UNKNOWN) & (F.col(found)["score"] >= min_score)).select(*docs.columns)

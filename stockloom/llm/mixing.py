@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source gets a target in words. A document's expected number of copies is its source's target over
-its source's size (times a preference, if one is given), never above ``max_copies``. The whole part of
+Every source gets a target in words. A document's expected number of copies is in proportion to its
+preference, which comes from its size and from a column if one is named, and never above ``max_copies``;
+in each source the level of this proportion is set so that the expected words are the target. The whole part of
 that number is allocated for certain. The fraction is an inclusion probability ``pi``: documents are
 ranked by their random odds over their inclusion odds, ``(u / (1 - u)) / (pi / (1 - pi))``, and the first
 ones are taken until the source's words are reached. ``u`` comes from a digest of the id, so a rerun, lost
@@ -19,21 +20,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockloom.llm.words import word_count
+from stockloom.llm.words import unused, word_count
 from stockloom.session import staged
 
 SLICES = 4096
 FIXED_POINT = 4096.0
+PARTS_OF_PREFERENCE = 64
+# Least size in words and preference from there on: documents of middle length are preferred.
+SIZE_PREFERENCE = ((0, 1.0), (50, 2.0), (1000, 1.5))
 
 
-def sizes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", preference: str | None = None) -> DataFrame:
-    """Id, source, preference and size in words of every row; null text has size 0."""
-    return docs.select(
+def sizes(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", preference: str | None = None,
+    size_preference: tuple[tuple[int, float], ...] = SIZE_PREFERENCE,
+) -> DataFrame:
+    """Id, source, preference (in 64ths, a whole number) and size in words of every row; null text has size 0."""
+    rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
-        (F.col(preference).cast("double") if preference else F.lit(1.0)).alias("preference"),
+        (F.col(preference).cast("double") if preference else F.lit(1.0)).alias("_own"),
         word_count(text_col).alias("size"),
     )
+    of_size = F.lit(0.0)
+    for least, value in size_preference:
+        of_size = F.when(F.col("size") >= least, F.lit(float(value))).otherwise(of_size)
+    own = F.greatest(F.coalesce("_own", F.lit(0.0)), F.lit(0.0))
+    return rows.withColumn("preference", F.floor(own * of_size * PARTS_OF_PREFERENCE + 0.5).cast("long")).drop("_own")
 
 
 def source_targets(sized: DataFrame, *, weights: tuple[int, ...], share: tuple[int, int], max_copies: int) -> DataFrame:
@@ -45,7 +57,7 @@ def source_targets(sized: DataFrame, *, weights: tuple[int, ...], share: tuple[i
     sorting the sources by cap / weight. One row per source goes through these windows.
     """
     over, under = share
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.floor(F.col("preference") * F.col("size") * FIXED_POINT)).alias("pull"))
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
     cycle = F.array(*[F.lit(w).cast("long") for w in weights])
     totals = totals.withColumn("weight", F.element_at(cycle, (F.row_number().over(by_name) - 1) % len(weights) + 1))
@@ -60,22 +72,41 @@ def source_targets(sized: DataFrame, *, weights: tuple[int, ...], share: tuple[i
     fits = F.when(F.col("_level") * F.col("weight") <= F.col("cap"), F.col("_level"))
     totals = totals.withColumn("_tau", F.first(fits, ignorenulls=True).over(everything))
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("_tau") * F.col("weight"), F.col("cap").cast("double")))
-    return totals.select("source", "source_size", "pull", "weight", target.alias("target"))
+    return totals.select("source", "source_size", "weight", target.alias("target"))
+
+
+def with_levels(sized: DataFrame, targets: DataFrame, *, max_copies: int) -> DataFrame:
+    """``targets`` with the ``level`` at which sum(size * min(max_copies, level * preference)) is the target; null: all are capped.
+
+    Documents of one source and preference go as one row through a window, the most preferred, which reach
+    the cap first, at its head. There are as many rows as different preferences in a source.
+    """
+    classes = sized.filter("preference > 0").groupBy("source", "preference").agg(F.sum("size").alias("_held"))
+    t = targets.select(F.col("source").alias("_source"), "target")
+    classes = classes.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    falling = Window.partitionBy("source").orderBy(F.desc("preference"))
+    capped = F.coalesce(F.sum("_held").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_pull = F.sum(F.col("_held") * F.col("preference")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+    level = F.when(open_pull > 0, (F.col("target") - (capped * max_copies).cast("double")) / open_pull.cast("double"))
+    found = classes.withColumn("_level", level).filter(F.col("_level") * F.col("preference") <= max_copies)
+    best = found.groupBy(F.col("source").alias("_source")).agg(F.max(F.struct("preference", "_level")).alias("_best"))
+    joined = targets.join(best, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return joined.select(*targets.columns, F.col("_best._level").alias("level"))
 
 
 def ranked(sized: DataFrame, targets: DataFrame, *, max_copies: int, seed: int) -> DataFrame:
     """Every row with its certain copies ``whole``, inclusion probability ``pi``, rank ``q`` and stratum."""
-    t = targets.select(F.col("source").alias("_source"), "source_size", "pull", "target")
+    t = targets.select(F.col("source").alias("_source"), "source_size", "level", "target")
     rows = sized.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    factor = F.when(F.col("pull") > 0, F.col("target") / (F.col("pull") / FIXED_POINT)).otherwise(0.0)
-    copies = F.least(F.lit(float(max_copies)), factor * F.col("preference"))
+    copies = F.least(F.lit(float(max_copies)), F.coalesce(F.col("level") * F.col("preference"), F.lit(float(max_copies))))
+    copies = F.when((F.col("preference") > 0) & (F.col("source_size") > 0), F.greatest(copies, F.lit(0.0)))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
     rows = rows.withColumn("_copies", F.coalesce(copies, F.lit(0.0))).withColumn("_u", u)
     rows = rows.withColumn("whole", F.floor("_copies")).withColumn("pi", F.col("_copies") - F.col("whole"))
     q = F.when(F.col("pi") > 0, (F.col("_u") / (1.0 - F.col("_u"))) * ((1.0 - F.col("pi")) / F.col("pi")))
     stratum = F.when(F.col("size") * 16 > F.col("source_size"), 1).when(F.col("size") * 256 > F.col("source_size"), 2).otherwise(3)
-    return rows.withColumn("q", q).withColumn("stratum", stratum).drop("_copies", "_u", "pull")
+    return rows.withColumn("q", q).withColumn("stratum", stratum).drop("_copies", "_u", "level")
 
 
 def _last_taken(rows: DataFrame, goals: DataFrame) -> DataFrame:
@@ -143,19 +174,21 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     preference: str | None = None,
+    size_preference: tuple[tuple[int, float], ...] = SIZE_PREFERENCE,
 ) -> DataFrame:
     """Copies of every document in the mix: doc_id, source, size, source_size, target, pi, copies, taken.
 
-    ``share`` is the fraction of all words that the mix aims at. ``preference`` names a column of positive
-    weights that raise or lower a document's inclusion odds within its source (null or below 0: none).
+    ``share`` is the fraction of all words that the mix aims at. A document's expected copies are in proportion
+    to its preference within its source: ``size_preference`` by its size, times the column ``preference`` if
+    one is named (null or below 0: none), rounded to 64ths.
 
     Null text counts as empty; null sources are one source, the last; a document of no words takes none.
     Rows of one id are taken or left together, each with its own size. An empty table gives an empty mix.
     Only the named columns are read, so extra columns cannot clash.
     """
-    sized = staged(sizes(docs, id_col=id_col, text_col=text_col, source_col=source_col, preference=preference), "mix-sizes")
-    sized = sized.withColumn("preference", F.greatest(F.coalesce("preference", F.lit(0.0)), F.lit(0.0)))
-    targets = staged(source_targets(sized, weights=weights, share=share, max_copies=max_copies), "mix-targets")
+    sized = staged(sizes(docs, id_col=id_col, text_col=text_col, source_col=source_col, preference=preference, size_preference=size_preference), "mix-sizes")
+    targets = source_targets(sized, weights=weights, share=share, max_copies=max_copies)
+    targets = staged(with_levels(sized, targets, max_copies=max_copies), "mix-targets")
     rows = staged(ranked(sized, targets, max_copies=max_copies, seed=seed), "mix-ranked")
     c = staged(cuts(rows, targets), "mix-cuts").withColumnRenamed("source", "_source").withColumnRenamed("slice", "_slice")
     place = F.struct("q", "doc_id")
@@ -174,10 +207,13 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all their columns, each row as often as it is taken.
 
-    Two rows of one id have the same number of copies, so the numbers are joined once per id.
+    Rows are matched by id, source and size, which decide the number of copies: rows that agree in all
+    three have the same. Columns of any name are kept.
     """
-    id_col = options.get("id_col", "doc_id")
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    copies = copies.withColumnRenamed("doc_id", "_mix_id")
-    joined = docs.join(copies, docs[id_col].eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_mix_id", "_copy")
+    id_col, text_col, source_col = (options.get(f"{c}_col", d) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source")))
+    mine = unused(docs, "mix_id", "mix_source", "mix_size", "mix_copies", "mix_copy", "mix_words")
+    copies = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0").toDF(*mine[:4])
+    rows = docs.withColumn(mine[5], word_count(text_col))
+    same = rows[id_col].eqNullSafe(F.col(mine[0])) & rows[source_col].eqNullSafe(F.col(mine[1])) & (F.col(mine[5]) == F.col(mine[2]))
+    repeated = rows.join(copies, same).withColumn(mine[4], F.explode(F.sequence(F.lit(1), F.col(mine[3]).cast("int"))))
+    return repeated.select(*docs.columns)

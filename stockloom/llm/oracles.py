@@ -10,10 +10,11 @@ from stockloom.llm import quality
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-# Pareto mix with three strata; weights 5, 2, 1, share 3/2, at most two copies, seed 20240601.
+# Pareto mix with three strata; weights 5, 2, 1, share 3/2, at most two copies, preference by size in 64ths, seed 20240601.
 OP1 = rf"""
 WITH sized AS (
-  SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents
+  SELECT *, CASE WHEN size >= 1000 THEN 96 WHEN size >= 50 THEN 128 ELSE 64 END::BIGINT AS preference
+  FROM (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents)
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM sized GROUP BY source
 ), weighed AS (
@@ -26,11 +27,20 @@ WITH sized AS (
   SELECT min_by(level, cap / weight) AS tau FROM levels WHERE level * weight <= cap
 ), targets AS (
   SELECT source, source_size, least(cap::DOUBLE, coalesce(tau * weight, cap::DOUBLE)) AS target FROM weighed, tau
+), classes AS (
+  SELECT s.source, s.preference, any_value(t.target) AS target, sum(s.size)::BIGINT AS held
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source GROUP BY s.source, s.preference
+), class_levels AS (
+  SELECT *, (target - (2 * coalesce(sum(held) OVER (PARTITION BY source ORDER BY preference DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE)
+    / nullif(sum(held * preference) OVER (PARTITION BY source ORDER BY preference DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::DOUBLE AS level
+  FROM classes
+), source_levels AS (
+  SELECT source, arg_max(level, preference) AS level FROM class_levels WHERE level * preference <= 2 GROUP BY source
 ), copies AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
-    least(2.0::DOUBLE, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END) AS c,
+    CASE WHEN t.source_size > 0 THEN greatest(least(2.0::DOUBLE, coalesce(l.level * s.preference, 2.0::DOUBLE)), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS c,
     (('0x' || substr(md5('20240601:' || s.doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN source_levels l ON s.source IS NOT DISTINCT FROM l.source
 ), ranked AS (
   SELECT *, floor(c)::BIGINT AS whole, c - floor(c) AS pi,
     CASE WHEN size * 16 > source_size THEN 1 WHEN size * 256 > source_size THEN 2 ELSE 3 END AS stratum,

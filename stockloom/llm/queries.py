@@ -56,7 +56,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_versions(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    history = secrets.scan_history([docs.filter("lang = 'en'"), docs])  # the English texts were there first
+    found = history.filter("version = 1")
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

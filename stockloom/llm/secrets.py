@@ -12,6 +12,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -57,7 +58,7 @@ RULES = (
     Rule("hex", 1, r"[0-9a-f]{32,}"),
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----)[\s\S])*-----END [A-Z ]*PRIVATE KEY-----", hints=("PRIVATE KEY",)),
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", hints=("gh",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", hints=("eyJ",)),
+    Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", hints=("eyJ",)),
 )
 BASE = ("assign", "access", "hex")
 
@@ -93,20 +94,33 @@ def open_ledger(spark, folder: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def scan_new(contents: DataFrame, folder: str, *, rules: tuple[Rule, ...] = RULES, batch: str | None = None) -> None:
-    """Scan ``contents`` (blob, text) for the pairs of blob and rule version that the ledger lacks, and note them.
-
-    The pairs of one call go to one part of the ledger named ``batch``; repeating a call that failed
-    overwrites its own part, and a part that was completed leaves nothing to scan.
-    """
-    spark = contents.sparkSession
+def unseen(paths: DataFrame, folder: str, *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The blobs of ``paths`` (path, blob) that lack a rule in the ledger: blob, one path that holds it, and the rules ``todo``. Reads no text."""
     names = F.array(*[F.lit(r.name) for r in rules])
-    seen = open_ledger(spark, folder).select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    new = contents.distinct().join(seen.withColumnRenamed("blob", "_blob"), F.col("blob") == F.col("_blob"), "left")
+    seen = open_ledger(paths.sparkSession, folder).select("blob", F.explode("rules").alias("rule")).groupBy(F.col("blob").alias("_blob")).agg(F.collect_set("rule").alias("seen"))
+    blobs = paths.groupBy("blob").agg(F.min("path").alias("path"))
     todo = F.array_except(names, F.coalesce("seen", F.array().cast("array<string>")))
-    new = new.select("blob", "text", todo.alias("todo")).filter(F.size("todo") > 0)
-    found = new.mapInPandas(_scanner(rules), f"blob string, rules array<string>, spans {_SPANS}")
-    found.write.mode("overwrite").parquet(f"{folder}/part={batch or uuid.uuid4().hex}")
+    new = blobs.join(seen, F.col("blob") == F.col("_blob"), "left").select("blob", "path", todo.alias("todo"))
+    return new.filter(F.size("todo") > 0)
+
+
+def scan_new(contents: DataFrame, folder: str, *, paths: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, batch: str | None = None) -> int:
+    """Scan ``contents`` (path, blob, text) for the pairs of blob and rule version that the ledger lacks, and note them.
+
+    Digests (``paths``, if they are written already) are compared with the ledger first; then the text of one
+    path for each unseen blob is scanned, and nothing else. Gives the number of unseen blobs. The findings of
+    one call go to one part of the ledger named ``batch``; repeating a call that failed overwrites its own
+    part, and one that was completed leaves nothing to scan.
+    """
+    known = contents.select("path", "blob") if paths is None else paths
+    new = staged(unseen(known, folder, rules=rules), "unseen-blobs").withColumnsRenamed({"blob": "_blob", "path": "_path"})
+    count = new.count()
+    if count:
+        held = contents.join(new, (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")))
+        found = held.select("blob", "text", "todo").mapInPandas(_scanner(rules), f"blob string, rules array<string>, spans {_SPANS}")
+        # A path may be listed twice with one text; the ledger holds a blob once.
+        found.dropDuplicates(["blob"]).write.mode("overwrite").parquet(f"{folder}/part={batch or uuid.uuid4().hex}")
+    return count
 
 
 def findings(paths: DataFrame, folder: str, *, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -128,13 +142,24 @@ def blob_of(text_col: str) -> Column:
     return F.sha2(text_or_empty(text_col), 256)
 
 
-def scan_versions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per path: doc_id, blob and spans (kind, start, end; code points, end exclusive).
+def scan_history(history: list[DataFrame], *, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per path of every version in ``history``: version, doc_id, blob and spans (kind, start, end; code points, end exclusive).
 
-    Null text is the empty blob. Repeated rows get a row each. ``ledger`` is the ledger's folder; without
-    one, a new ledger is begun in the shared folder. Only the named columns are read.
+    Versions are scanned one after the other; a later one only adds what no earlier one held. Null text is
+    the empty blob. Repeated rows get a row each (a path repeated with one text may be scanned as often). ``ledger``
+    is the ledger's folder; without one, a new ledger is begun in the shared folder. Only the named columns are read.
     """
-    folder = ledger or f"{shared_folder(docs.sparkSession)}/stockloom/ledger-{uuid.uuid4().hex}"
-    rows = docs.select(F.col(id_col).alias("doc_id"), blob_of(text_col).alias("blob"), text_or_empty(text_col).alias("text"))
-    scan_new(rows.select("blob", "text"), folder, rules=rules)
-    return findings(staged(rows.select("doc_id", "blob"), "paths"), folder, rules=rules)
+    folder = ledger or f"{shared_folder(history[0].sparkSession)}/stockloom/ledger-{uuid.uuid4().hex}"
+    listed = []
+    for number, docs in enumerate(history):
+        digests = docs.select(F.lit(number).alias("version"), F.col(id_col).alias("doc_id"), blob_of(text_col).alias("blob"))
+        paths = staged(digests, "paths")
+        listed.append(paths)
+        contents = docs.select(F.col(id_col).alias("path"), blob_of(text_col).alias("blob"), text_or_empty(text_col).alias("text"))
+        scan_new(contents, folder, paths=paths.select(F.col("doc_id").alias("path"), "blob"), rules=rules)
+    return findings(reduce(DataFrame.unionByName, listed), folder, rules=rules)
+
+
+def scan_versions(docs: DataFrame, **options) -> DataFrame:
+    """``scan_history`` of one version, without its number."""
+    return scan_history([docs], **options).drop("version")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = r"\x20\x09-\x0D"
@@ -27,3 +27,15 @@ def word_list(column: str) -> Column:
 def length_of_class(text: Column, members: str) -> Column:
     """Code points of ``text`` that lie in the regex class ``members``."""
     return F.length(F.regexp_replace(text, f"[^{members}]+", "")).cast("long")
+
+
+def unused(rows: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``rows`` already has a column of that name."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

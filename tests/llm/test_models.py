@@ -3,11 +3,12 @@
 import os
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stockloom.llm import chat, html_extract, jaccard_join, language, pieces
 from stockloom.llm.dom import match, parse
@@ -194,11 +195,32 @@ def test_blocks_give_the_same_turns(spark, monkeypatch):
 
 def test_conversations_awkward(spark):
     rows = [(1, 0, None, None), (1, 1, "user", ""), (None, None, "tool", "x"), (2, 0, "user", "same"), (2, 0, "user", "same"), (3, 0, "assistant", "A: long\n" * 3000)]
-    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
-    assert chat.parse_conversations(table).count() >= 4
+    rows += [(-1, 0, "user", "of minus one"), (None, 1, "user", "of nobody"), (2, None, "user", "last"), (2, 1, "user", "between")]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("block", F.lit("x")).withColumn("line", F.lit(1))
+    turns = chat.as_turns(table).orderBy("conv", "turn").collect()
+    assert [(r.turn, r.text) for r in turns if r.conv == "=2"] == [(1, "same"), (2, "same"), (3, "between"), (4, "last")]
+    assert [r.text for r in turns if r.conv == "~"] == ["of nobody", "x"] and [r.text for r in turns if r.conv == "=-1"] == ["of minus one"]
+    got = chat.parse_conversations(table).collect()
+    lines = Counter(r.conv for r in chat.lines_of(chat.with_markers(chat.as_turns(table))).collect())
+    assert lines["=3"] >= 3001 and lines["=2"] >= 4 and lines["~"] >= 2
+    assert Counter({k: sum(r.n_lines for r in got if f"={r.conv_id}" == k or (r.conv_id is None and k == "~")) for k in lines}) == lines  # none is lost
+    assert [r.held_out for r in got if r.conv_id is None] == [False] * sum(r.conv_id is None for r in got)
+    assert sorted(map(str, chat.parse_conversations(table.repartition(5)).collect())) == sorted(map(str, got))
+    text_ids = table.withColumn("conv_id", F.col("conv_id").cast("string"))
+    assert {r.conv_id for r in chat.parse_conversations(text_ids).collect()} == {"1", "2", "3", "-1", None}
     assert chat.parse_conversations(table.limit(0)).count() == 0
 
 
+def test_language_ties_and_clashing_names(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").withColumn("_language", F.lit("mine")).withColumn("found_language", F.lit(7))
+    kept = language.with_language(table)
+    assert kept.columns == table.columns
+    assert {(r._language, r.found_language) for r in kept.collect()} == {("mine", 7)}
+    model = language.fit(np.eye(language.DIMENSIONS, dtype=np.float32)[[0, 0, 1]], np.array(["aa", "bb", "cc"], dtype=object))
+    assert model.predict(None) == (language.UNKNOWN, 0.0) and model.predict("12 34") == (language.UNKNOWN, 0.0)
+    assert model.predict("abc")[0] == model.predict("abc")[0] in ("aa", "bb", "cc")
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
