@@ -169,11 +169,28 @@ def test_exact_groups(spark, awkward, capacity):
 
 
 def test_directory_splits_only_overfull_buckets(spark):
-    keys = spark.createDataFrame([(k << 60,) for k in range(-8, 8)] + [(5,)] * 10, "key long")
-    slots = exact_dedup.directory(keys, capacity=4, max_depth=6).collect()
-    depth = {r.slot: r.depth for r in slots}
-    assert max(depth.values()) == 6 and min(depth.values()) == 2
-    assert depth[0] == 6  # ten equal keys chain in the deepest bucket
+    listed = [k << 60 for k in range(-8, 8)] + [5] * 10 + [(3 << 60) + k for k in range(6)]
+    keys = spark.createDataFrame([(k,) for k in listed], "key long")
+    tables = exact_dedup.directory(keys, capacity=4)
+    assert len(tables) == 4  # ten equal keys split down to the last bit, and chain there
+    placed = exact_dedup.bucket_of(keys, tables).collect()
+    assert len(placed) == len(listed)
+    held = Counter(r.bucket for r in placed)
+    by_key = {r.key: r.bucket for r in placed}
+    assert by_key[5] == "64-0000000000000005" and held[by_key[5]] == 10
+    assert all(n <= 4 for b, n in held.items() if b != by_key[5])
+    for bucket, n in held.items():  # the sibling half and the bucket's parent together would be overfull
+        depth = int(bucket[:2])
+        parent = [k for k in listed if depth and (k & (2**64 - 1)) >> (65 - depth) == int(bucket[3:], 16) >> 1]
+        assert len(parent) > 4, bucket
+
+
+def test_deduplicated_keeps_clashing_columns_and_one_fixed_row(spark):
+    rows = [(1, "a  b", "en", str(k), None, None) for k in range(6)] + [(2, "a b", "en", "x", None, None), (1, "other", "en", "y", None, None), (None, "q", "en", "z", None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"size": "_sha", "shard": "keep_id"})
+    once = sorted(map(str, exact_dedup.deduplicated(docs).collect()))
+    assert len(once) == 3 and exact_dedup.deduplicated(docs).columns == docs.columns
+    assert sorted(map(str, exact_dedup.deduplicated(docs.orderBy(F.desc("source")).repartition(5)).collect())) == once
 
 
 def jump(key, n):
