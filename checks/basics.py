@@ -459,10 +459,10 @@ def _(t, spark, folder):
     with recursive edge as (select b.parent_product_id p, i.component_product_id c, b.id from {bom} b join {bom_item} i on i.bom_id=b.id where not b.is_deleted
         and (b.effective_to is null or b.effective_to>=date'2024-06-30') and (b.effective_from is null or b.effective_from<=date'2024-06-30')),
     walk as (select id, c, 1 as level, [p,c] path from edge
-      union all select w.id, e.c, w.level+1, list_append(w.path, e.c) from walk w join edge e on e.p=w.c where not list_contains(w.path, e.c) and w.level<4)
+      union all select w.id, e.c, w.level+1, list_append(w.path, e.c) from walk w join edge e on e.p=w.c where not list_contains(w.path, e.c))
     select level, count(*) n from walk group by level""")
 def _(t, spark, folder):
-    return views.bom_flat_active(t, F.lit(AS_OF).cast("date"), max_level=4).groupBy("level").agg(F.count("*").alias("n"))
+    return views.bom_flat_active(t, F.lit(AS_OF).cast("date")).groupBy("level").agg(F.count("*").alias("n"))
 
 
 # --- scalar functions -----------------------------------------------------------------------------
