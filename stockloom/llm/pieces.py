@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 MARK = "▁"
-CACHE = 60_000
+CACHE = 250_000
 LONGEST_CACHED = 40
 ROWS_AT_ONCE = 200
 UNKNOWN_COST = 10.0
