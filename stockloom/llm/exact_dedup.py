@@ -51,10 +51,13 @@ def directory(keys: DataFrame, *, capacity: int = CAPACITY, step: int = STEP) ->
         open_slots = staged(known.groupBy(prefix(F.col("key"), bits).alias("slot")).count(), "dedup-slots")
         found = []
         for depth in range(max(0, bits - step) + (bits > step), bits + 1):
-            node = F.shiftrightunsigned(F.col("slot"), bits - depth) if bits > depth else F.col("slot")
-            node = F.lit(0).cast("long") if depth == 0 else node
-            held = open_slots.groupBy(node.alias("node")).agg(F.sum("count").alias("held"))
-            judged = staged(open_slots.withColumn("_node", node).join(held, F.col("_node") == F.col("node")).drop("_node"), "dedup-slots")
+            if depth == 0:  # one bucket for everything
+                everything = open_slots.agg(F.sum("count")).first()[0] or 0
+                judged = open_slots.withColumns({"node": F.lit(0).cast("long"), "held": F.lit(everything)})
+            else:
+                node = F.shiftrightunsigned(F.col("slot"), bits - depth) if bits > depth else F.col("slot")
+                held = open_slots.groupBy(node.alias("node")).agg(F.sum("count").alias("held"))
+                judged = staged(open_slots.withColumn("_node", node).join(held, F.col("_node") == F.col("node")).drop("_node"), "dedup-slots")
             fits = (F.col("held") <= capacity) | F.lit(depth == 64)
             name = F.format_string(f"%02d-%0{(max(depth, 1) + 3) // 4}x", F.lit(depth), F.col("node"))
             found.append(judged.filter(fits).select("slot", F.lit(depth).alias("depth"), name.alias("bucket")))
