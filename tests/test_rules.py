@@ -1,7 +1,7 @@
 """Rules that are easy to get wrong, one test each."""
 
 import datetime
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
 
@@ -77,6 +77,15 @@ def test_cycles_end(spark):
     assert {r["path_code"] for r in tree_paths(nodes).collect()} == {"A", "A/B"}
 
 
+def test_quantities_of_long_paths_pass_twelve_digits(spark):
+    edges = spark.createDataFrame([("r", k, k + 1, Decimal("3.000001")) for k in range(1, 31)], "root string, parent long, child long, qty decimal(18,6)")
+    deepest = explode_graph(edges).orderBy(F.desc("level")).first()
+    wanted = Decimal(1)
+    for _ in range(30):
+        wanted = (wanted * Decimal("3.000001")).quantize(Decimal("0.000001"), ROUND_HALF_UP)
+    assert (deepest["level"], deepest["child"], deepest["qty"]) == (30, 31, wanted) and wanted > 10**14
+
+
 def test_three_way_filter(spark):
     t = seed.tables(spark)
     assert views.inventory_available(t, product_id=seed.GADGET).count() == 1
