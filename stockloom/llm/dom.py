@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
+
 # Fixed values of the HTML vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg xmp".split())
@@ -133,102 +136,130 @@ def parse(source: str | None) -> Node:
             open_nodes.append(node)
 
 
-WIDEST = 250_000
+CELLS = 4_000_000
 
 
-def _paired(xs: list[Node], ys: list[Node], weight) -> tuple[int, list[tuple[int, int]]]:
+def _paired(xs: list[Node], ys: list[Node], kinds: list[int], weight) -> tuple[int, list[tuple[int, int]]]:
     """Weight and places of a heaviest order-preserving pairing of two lists of children.
 
-    Where the table of all pairs would have over ``WIDEST`` cells, the k-th child of a label goes with the
-    k-th of that label, as far as the order is kept.
+    ``weight`` of a child of ``xs`` and one of ``ys`` with its label depends on the latter's kind only. The table of all
+    pairs has a row per child of ``xs``. Where it would have over ``CELLS`` cells, only some rows are kept, evenly
+    spaced, and those between two of them are computed again on the way back: the result is the same.
     """
-    if len(xs) * len(ys) > WIDEST:
-        places: dict[str, list[int]] = {}
-        for j, q in enumerate(ys):
-            places.setdefault(q.label, []).append(j)
-        used: dict[str, int] = {}
-        pairs, total, last = [], 0, -1
-        for i, p in enumerate(xs):
-            k = used.get(p.label, 0)
-            own = places.get(p.label, ())
-            while k < len(own) and own[k] <= last:
-                k += 1
-            if k < len(own):
-                last = own[k]
-                pairs.append((i, last))
-                total += weight(p, ys[last])
-            used[p.label] = k + 1
-        return total, pairs
-    row = [0] * (len(ys) + 1)
-    table, weights = [row], []
-    for p in xs:
-        before, row, left, own = row, [0], 0, []
-        for j, q in enumerate(ys):
-            w = weight(p, q) if q.label == p.label else 0
-            own.append(w)
-            best = before[j] + w
-            if before[j + 1] > best:
-                best = before[j + 1]
-            if left > best:
-                best = left
-            row.append(best)
-            left = best
-        table.append(row)
-        weights.append(own)
-    pairs, i, j = [], len(xs), len(ys)
-    while i and j:
-        w = weights[i - 1][j - 1]
-        if w and table[i][j] == table[i - 1][j - 1] + w:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif table[i][j] == table[i - 1][j]:
-            i -= 1
+    rows_kept = len(xs) if len(xs) * len(ys) <= CELLS else math.isqrt(len(xs)) + 1
+    by_label: dict[str, list[int]] = {}
+    for j, q in enumerate(ys):
+        by_label.setdefault(q.label, []).append(j)
+    of_kind: dict[str, tuple] = {}
+
+    def weights(p: Node) -> np.ndarray:
+        own = np.zeros(len(ys), dtype=np.int64)
+        js = by_label.get(p.label)
+        if js and p.children:
+            if p.label not in of_kind:
+                of_kind[p.label] = np.unique([kinds[j] for j in js], return_index=True, return_inverse=True)
+            _, firsts, places = of_kind[p.label]
+            own[js] = np.array([weight(p, ys[js[k]]) for k in firsts])[places]
+        elif js:
+            own[js] = 1
+        return own
+
+    def next_row(before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        row = np.zeros(len(ys) + 1, dtype=np.int64)
+        np.maximum.accumulate(np.maximum(before[1:], before[:-1] + own), out=row[1:])
+        return row
+
+    def few_weights(p: Node) -> list[int]:
+        return [(weight(p, q) if p.children else 1) if q.label == p.label else 0 for q in ys]
+
+    def next_few(before: list[int], own: list[int]) -> list[int]:
+        row, left = [0], 0
+        for j, w in enumerate(own):
+            left = max(before[j] + w, before[j + 1], left)
+            row.append(left)
+        return row
+
+    if len(ys) < 64:  # the same in plain Python, which is quicker on short rows
+        weights, next_row = few_weights, next_few
+    row, starts = [0] * (len(ys) + 1) if len(ys) < 64 else np.zeros(len(ys) + 1, dtype=np.int64), {}
+    for i in range(0, len(xs) if rows_kept < len(xs) else 0):
+        if i % rows_kept == 0:
+            starts[i] = row
+        row = next_row(row, weights(xs[i]))
+    total, pairs, j = None, [], len(ys)
+    for start in sorted(starts or {0: row}, reverse=True):
+        table, own = [starts.get(start, row)], []
+        for p in xs[start : start + rows_kept]:
+            own.append(weights(p))
+            table.append(next_row(table[-1], own[-1]))
+        total = int(table[-1][-1]) if total is None else total
+        i = len(own)
+        while i and j:
+            w = own[i - 1][j - 1]
+            if w and table[i][j] == table[i - 1][j - 1] + w:
+                i, j = i - 1, j - 1
+                pairs.append((start + i, j))
+            elif table[i][j] == table[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return total, pairs
+
+
+def _shapes(root: Node, known: dict) -> dict[int, int]:
+    """The number of each node's shape, its labels all the way down; ``known`` numbers the shapes."""
+    shapes: dict[int, int] = {}
+    todo = [(root, False)]
+    while todo:
+        x, entered = todo.pop()
+        if entered or not x.children:
+            shapes[id(x)] = known.setdefault((x.label, *[shapes[id(c)] for c in x.children]), len(known))
         else:
-            j -= 1
-    return table[-1][-1], pairs
+            todo.append((x, True))
+            todo += [(c, False) for c in x.children]
+    return shapes
 
 
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: pairs of a largest order-preserving mapping of equal labels, parent to parent.
 
     Pairs of subtrees are weighed from the leaves up with a stack of their own: pages nest deeper than
-    Python's calls.
+    Python's calls. Subtrees of one shape are weighed once, so long lists of alike entries cost little.
     """
     if a.label != b.label:
         return []
+    known: dict = {}
+    left, right = _shapes(a, known), _shapes(b, known)
     sizes: dict[tuple[int, int], int] = {}
     memo: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
     def weight(p: Node, q: Node) -> int:
-        return sizes[id(p), id(q)] if p.children and q.children else 1
+        return sizes[left[id(p)], right[id(q)]] if p.children and q.children else 1
 
     todo = [(a, b, False)]
     while todo:
         x, y, weighed = todo.pop()
-        key = (id(x), id(y))
+        key = (left[id(x)], right[id(y)])
         if key in sizes:
             continue
         xs, ys = x.children, y.children
         if not weighed:
             todo.append((x, y, True))
-            if len(xs) * len(ys) > WIDEST:
-                inner = [(xs[i], ys[j]) for i, j in _paired(xs, ys, lambda p, q: 1)[1]]
-            else:
-                by_label: dict[str, list[Node]] = {}
-                for q in ys:
-                    if q.children:
-                        by_label.setdefault(q.label, []).append(q)
-                inner = [(p, q) for p in xs if p.children for q in by_label.get(p.label, ())]
-            todo += [(p, q, False) for p, q in inner if p.children and q.children and (id(p), id(q)) not in sizes]
+            by_label: dict[str, dict[int, Node]] = {}
+            for q in ys:
+                if q.children:
+                    by_label.setdefault(q.label, {}).setdefault(right[id(q)], q)
+            inner = {left[id(p)]: p for p in xs if p.children}
+            todo += [(p, q, False) for s, p in inner.items() for o, q in by_label.get(p.label, {}).items() if (s, o) not in sizes]
         else:
-            total, memo[key] = _paired(xs, ys, weight) if xs and ys else (0, [])
+            total, memo[key] = _paired(xs, ys, [right[id(q)] for q in ys], weight) if xs and ys else (0, [])
             sizes[key] = total + 1
     found, open_pairs = [], [(a, b)]
     while open_pairs:
         x, y = open_pairs.pop()
         found.append((x, y))
         if x.children and y.children:
-            open_pairs.extend((x.children[i], y.children[j]) for i, j in memo[id(x), id(y)])
+            open_pairs.extend((x.children[i], y.children[j]) for i, j in memo[left[id(x)], right[id(y)]])
     return found
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockloom.llm import chat, html_extract, jaccard_join, language, pieces
+from stockloom.llm import chat, dom, html_extract, jaccard_join, language, pieces
 from stockloom.llm.dom import match, parse
 
 SF = "/root/testdata/sf0.001"
@@ -189,6 +189,25 @@ def test_tree_matching_is_largest():
     assert labels == ["#root", "b", "li", "li", "ul"]
 
 
+def test_matching_of_long_lists_is_largest_too(monkeypatch):
+    # 701 entries against the same without the first: over 250,000 pairs.
+    entries = [f"<{'li' if i % 3 else 'p'}>{'<b>x</b>' * (i % 4)}</{'li' if i % 3 else 'p'}>" for i in range(700)]
+    a, b = parse("<p><b>y</b></p>" + "".join(entries)), parse("".join(entries))
+    found = match(a, b)
+    assert len(found) == 1 + sum(1 + i % 4 for i in range(700))
+    rng = random.Random(5)
+    page = lambda: "".join(f"<{t}>{'<b></b>' * rng.randrange(3)}</{t}>" for t in rng.choices(["li", "p", "h1"], k=90))
+    for _ in range(5):
+        first, second, results = page(), page(), []
+        for cells in (dom.CELLS, 0):
+            monkeypatch.setattr(dom, "CELLS", cells)
+            x, y = parse(first), parse(second)
+            places = {id(n): k for k, n in enumerate([*x.children, *y.children])}
+            results.append([(places[id(p)], places[id(q)]) for p, q in match(x, y) if id(p) in places])
+        assert results[0] == results[1]
+        monkeypatch.undo()
+
+
 def test_viterbi_equals_all_paths():
     rng = np.random.default_rng(2)
     n = len(chat.STATES)
