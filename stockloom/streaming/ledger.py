@@ -34,12 +34,9 @@ class _Balance(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._balance = handle.getValueState("balance", StructType([StructField("thousandths", LongType())]))
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._balance.update((int(initialState["thousandths"].sum()),))
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        balance = self._balance.get()[0] if self._balance.exists() else 0
         batch = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
+        balance = self._balance.get()[0] if self._balance.exists() else int(batch["opening"].iloc[0])
         accepted, balances = [], []
         for delta in batch["delta"].tolist():
             fits = balance + delta >= 0
@@ -56,19 +53,21 @@ class _Balance(StatefulProcessor):
 def running_balances(moves: DataFrame, opening: DataFrame) -> DataFrame:
     """Each movement with the balance after it and whether it was accepted.
 
-    ``moves``: a stream with id, ts, bucket columns, qty_delta. ``opening``: bucket columns and balance.
+    ``moves``: a stream with id, ts, bucket columns, qty_delta. ``opening``: bucket columns and balance, the same
+    whenever the stream is started again. The opening balance comes with the movements of its bucket, so state is
+    kept, and the processor called, for buckets that move only.
     """
     if moves.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", None) != ROCKSDB:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     id_type = dict(moves.dtypes)["id"]
     keyed = moves.select("id", "ts", F.to_json(bucket()).alias("bucket"), (F.col("qty_delta") * 1000).cast("bigint").alias("delta"))
-    start = opening.select(F.to_json(bucket()).alias("bucket"), (F.col("balance") * 1000).cast("bigint").alias("thousandths"))
-    tracked = keyed.groupBy("bucket").transformWithStateInPandas(
+    start = opening.groupBy(F.to_json(bucket()).alias("bucket")).agg(F.sum((F.col("balance") * 1000).cast("bigint")).alias("opening"))
+    started = keyed.join(start, "bucket", "left").select("id", "ts", "bucket", "delta", F.coalesce("opening", F.lit(0).cast("bigint")).alias("opening"))
+    tracked = started.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Balance(),
         outputStructType=f"id {id_type}, bucket string, delta bigint, accepted boolean, balance bigint",
         outputMode="Append",
         timeMode="None",
-        initialState=start.groupBy("bucket"),
     )
     return tracked.select(
         "id", "bucket", (F.col("delta") / 1000).cast("decimal(18,3)").alias("qty_delta"), "accepted",
