@@ -2,8 +2,12 @@
 
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
+from checks.documents import nested_rows, stored_documents
 from stockloom.plans.jobs import reserving
 from stockloom.plans.jobs.base import first_of_each
+from stockloom.sources.fixtures import derived_tables
 from stockloom.streaming import ledger
 from tests import seed
 
@@ -47,3 +51,13 @@ def test_state_is_kept_for_buckets_that_move(spark, tmp_path):
     got = {r["id"]: (r["accepted"], r["running_qty"]) for r in spark.read.parquet(out).collect()}
     assert got == {"m1": (True, D(0)), "m2": (False, D(0)), "m3": (True, D(2)), "m4": (True, D(5)), "m5": (True, D(0)), "m6": (False, D(10))}
     assert spark.read.format("statestore").option("stateVarName", "balance").load(progress).count() == 3
+
+
+def test_nested_rows_read_each_document_once(spark):
+    stored = stored_documents(derived_tables(spark, "/root/testdata/sf0.001"))
+    rows = nested_rows(stored)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(rows).count("Relation [") == plan(stored).count("Relation [")
+    assert {r["kind"] for r in rows.select("kind").distinct().collect()} == {"header", "line", "reservation", "pick", "shipped"}
+    bare = stored.withColumns({c: F.lit(None).cast(stored.schema[c].dataType) for c in ("lines", "reservations", "picklist", "shipment")})
+    assert nested_rows(bare).count() == stored.count()  # no children leave the header
