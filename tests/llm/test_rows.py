@@ -259,8 +259,8 @@ def test_secret_spans_and_ledger(spark, awkward, tmp_path):
     assert secrets.scan_versions(awkward.limit(0)).count() == 0
 
 
-def test_all_ten_are_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 14))
 
 
 def test_ledger_reads_only_unseen_blobs(spark, tmp_path, monkeypatch):
