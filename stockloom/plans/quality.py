@@ -18,6 +18,7 @@ from stockloom.functions.units import converted
 from stockloom.model import ALLOWED, BUCKET, CHECKS, REFERENCES, REJECT_CLASSES, SCHEMAS, UNIQUE, UNIQUE_GROUPS, UNIQUE_LIVE, WIDTHS
 from stockloom.operators.lookup import columns_of
 from stockloom.plans.views import inventory_tx_running
+from stockloom.session import staged
 from stockloom.sources.tables import Tables, active
 
 
@@ -67,34 +68,46 @@ def foreign_keys(t: Tables, table: str, rows: DataFrame | None = None) -> DataFr
 
 
 def all_foreign_keys(t: Tables, tables: Iterable[str] = tuple(SCHEMAS)) -> DataFrame:
-    """Q6 for many tables at once: each is read once, for all its references, and one join tests them all.
+    """Q6 for many tables at once. Ids are compared as text, or as whole numbers where all of them are.
 
-    Null references are left out before the shuffle. Ids are compared as text.
+    Per parent, the values of all columns that refer to it and its own ids are grouped by value, so a value that many rows
+    hold is shuffled once a task; the values without a parent are written. Only columns that refer to a parent with
+    such values are read again, for the rows that hold them.
     """
-    asked, parents = [], set()
+    by_parent: dict[str, list] = {}
     for table in tables:
-        rows = t[table]
-        own = [r for r in REFERENCES if r.child == table and r.column in rows.columns]
-        if not own:
-            continue
-        parents |= {r.parent for r in own}
-        pointers = [F.struct(F.lit(r.parent).alias("parent"), F.lit(r.column).alias("column"), F.col(r.column).cast("string").alias("key")) for r in own]
-        pointer = F.explode(F.filter(F.array(*pointers), lambda p: p["key"].isNotNull())).alias("_p")
-        asked.append(rows.select(F.lit(table).alias("table_name"), F.col("id").cast("string").alias("id"), pointer).select("table_name", "id", "_p.*"))
-    known = [t[p].select(F.lit(p).alias("parent"), F.col("id").cast("string").alias("key")) for p in sorted(parents)]
-    orphans = reduce(DataFrame.unionByName, asked).join(reduce(DataFrame.unionByName, known), ["parent", "key"], "left_anti")
-    return orphans.select(
-        "table_name", F.concat(F.lit("foreign_key:"), "column").alias("rule"), F.col("id").alias("row_id"), F.lit("FOREIGN_KEY_VIOLATION").alias("reject_code"),
-        F.lit(1).cast("bigint").alias("n_rows"),
-    )
-
-
-def _broken_rules(df: DataFrame, table: str) -> list[Column]:
-    """One (rule, code) struct per rule that a single row can break; null where the row keeps it."""
-    failed: list[Column] = []
+        for r in REFERENCES:
+            if r.child == table and r.column in t[table].columns:
+                by_parent.setdefault(r.parent, []).append(r)
+    kinds = {p: _key_kind(t[p].schema["id"], *[t[r.child].schema[r.column] for r in own]) for p, own in by_parent.items()}
+    unmatched = []
+    for parent, own in by_parent.items():
+        pointed = [t[r.child].select(F.col(r.column).cast(kinds[parent]).alias("key"), F.lit(False).alias("_known")).dropna(subset=["key"]) for r in own]
+        ids = t[parent].select(F.col("id").cast(kinds[parent]).alias("key"), F.lit(True).alias("_known"))
+        values = reduce(DataFrame.unionByName, [*pointed, ids]).groupBy("key").agg(F.max("_known").alias("_known"))
+        unmatched.append(values.filter(~F.col("_known")).select(F.lit(parent).alias("parent"), F.col("key").cast("string").alias("key")))
+    unmatched = staged(reduce(DataFrame.unionByName, unmatched), "unmatched-keys")
+    bad_parents = {r["parent"] for r in unmatched.select("parent").distinct().collect()}  # at most one row a table
+    orphans = []
+    for r in (r for p, own in by_parent.items() if p in bad_parents for r in own):
+        keys = unmatched.filter(F.col("parent") == r.parent).select(F.col("key").cast(kinds[r.parent]).alias("_key"))
+        rows = t[r.child].select("id", F.col(r.column).cast(kinds[r.parent]).alias("_key")).join(keys, "_key", "left_semi")
+        orphans.append(_violation(rows, r.child, F.lit(f"foreign_key:{r.column}"), F.col("id"), F.lit("FOREIGN_KEY_VIOLATION")))
+    empty = "table_name string, rule string, row_id string, reject_code string, n_rows bigint"
+    return reduce(DataFrame.unionByName, orphans or [unmatched.sparkSession.createDataFrame([], empty)])
+
+
+def _key_kind(*fields) -> str:
+    """The type to compare these columns in."""
+    return "bigint" if all(f.dataType.typeName() in ("byte", "short", "integer", "long") for f in fields) else "string"
+
+
+def _single_row_rules(df: DataFrame, table: str) -> list[tuple[str, str, Column]]:
+    """Name, code and condition of every rule that a single row can break; the condition holds where it does."""
+    rules: list[tuple[str, str, Column]] = []
 
     def rule(name, code, broken):
-        failed.append(F.when(broken, F.struct(F.lit(name).alias("rule"), F.lit(code).alias("code"))))
+        rules.append((name, code, broken))
 
     for field in SCHEMAS[table]:
         if field.name in df.columns and field.name != "id":
@@ -107,12 +120,18 @@ def _broken_rules(df: DataFrame, table: str) -> list[Column]:
     for owner, name, condition in CHECKS:
         if owner == table:
             rule(f"check:{name}", "CHECK_VIOLATION", ~F.expr(condition))
-    return failed
+    return rules
+
+
+def _broken_rules(df: DataFrame, table: str) -> list[Column]:
+    """One (rule, code) struct per rule that a single row can break; null where the row keeps it."""
+    return [F.when(broken, F.struct(F.lit(name).alias("rule"), F.lit(code).alias("code"))) for name, code, broken in _single_row_rules(df, table)]
 
 
 def row_rules(df: DataFrame, table: str) -> DataFrame:
-    """Q7, Q8: every rule that one row alone can break, found in a single pass."""
-    found = df.select("id", F.explode(F.filter(F.array(*_broken_rules(df, table)), lambda x: x.isNotNull())).alias("_v"))
+    """Q7, Q8: every rule that one row alone can break, found in a single pass; only rows that break one are looked at rule by rule."""
+    broken = reduce(lambda a, b: a | b, [c for _, _, c in _single_row_rules(df, table)], F.lit(False))
+    found = df.filter(broken).select("id", F.explode(F.filter(F.array(*_broken_rules(df, table)), lambda x: x.isNotNull())).alias("_v"))
     return _violation(found, table, F.col("_v.rule"), F.col("id"), F.col("_v.code"))
 
 
