@@ -28,9 +28,10 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
         F.when(root, 0).otherwise(1).alias("depth"),
     )
     stretches = staged(start, "tree-stretches")
-    done = [stretches.filter(F.col("_above").isNull())]
+    done, stretches = [stretches.filter(F.col("_above").isNull())], stretches.filter(F.col("_above").isNotNull())
     while True:
-        above = stretches.select(
+        # Finished stretches stay as those above the open ones, and are neither lengthened nor written again.
+        above = reduce(DataFrame.unionByName, [stretches, *done]).select(
             F.col("id").alias("_id"), F.col("_above").alias("_next"), F.col("path_code").alias("_code"), F.col("path_name").alias("_name"), F.col("depth").alias("_depth")
         )
         longer = stretches.join(above, F.col("_above") == F.col("_id")).select(
@@ -43,8 +44,7 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
         if finished.isEmpty():  # every depth from the least open one on is taken, so what is left hangs on no root
             break
         done.append(finished)
-        # Finished stretches stay as those above the open ones, and are not lengthened again.
-        stretches = staged(reduce(DataFrame.unionByName, [longer.filter(F.col("_above").isNotNull()), *done]), "tree-stretches")
+        stretches = longer.filter(F.col("_above").isNotNull())
     return reduce(DataFrame.unionByName, done).drop("_above")
 
 
