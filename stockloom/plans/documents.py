@@ -118,7 +118,7 @@ def document_shipment_items(t: Tables, orders: DataFrame | None = None, shipment
 
 def _listed(**fields: str) -> Column:
     """Sorted array of structs; the first field is the id, which fixes the order."""
-    return F.array_sort(F.collect_list(F.struct(*[F.col(column).alias(name) for name, column in fields.items()])))
+    return F.sort_array(F.collect_list(F.struct(*[F.col(column).alias(name) for name, column in fields.items()])))
 
 
 def order_fulfillment_doc(t: Tables, orders: DataFrame | None = None) -> DataFrame:
