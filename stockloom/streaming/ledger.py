@@ -143,7 +143,8 @@ def ledger_writer(t: Tables, folder: str, run_ts: Column, parts: int = PARTS, co
         stock_rows = stock_table(spark, folder, opening, parts)
         ledger = ledger_shape.unionByName(posted_rows.lookup(batch, before=batch_id))
         changed = stock_rows.lookup(batch, before=batch_id)
-        at_hand = opening.join(batch.select(bucket().alias("_bucket")), bucket() == F.col("_bucket"), "left_semi")
+        touched = staged(batch.select(bucket().alias("_bucket")).distinct(), "touched-buckets")  # of a known size: few are broadcast, and the stock is not shuffled
+        at_hand = opening.join(touched, bucket() == F.col("_bucket"), "left_semi")
         stock = staged(at_hand.join(changed.select("id"), "id", "left_anti").unionByName(changed), "stock")
         now: JobResult = post_movements(t.replacing(inventory_tx=ledger, inventory=stock), batch, run_ts)
         posted = now.inserts["inventory_tx"]
