@@ -4,32 +4,33 @@ All pieces form one automaton. It reads the text once; at each position it repor
 links, every piece that ends there, and each relaxes the best score of that position. A character that no
 piece covers falls back to its UTF-8 bytes, so decoding gives back the text exactly.
 
-Pieces hold the word mark only at their start, so the best path of a text is that of its words in turn;
-short words are remembered, at most ``CACHE`` of them.
+Pieces hold the word mark only at their start, so the best path of a text is that of its words in turn. The
+distinct words of some texts are encoded once. Short ones take that pass together, position by position, along
+the trie of the pieces; the sums and their order are those of the automaton's pass, so the paths are the same.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 MARK = "▁"
-CACHE = 250_000
-LONGEST_CACHED = 40
-ROWS_AT_ONCE = 200
+LONGEST_TOGETHER = 40
+WORDS_AT_ONCE = 16_384
+BYTES_AT_ONCE = 4_000_000
 UNKNOWN_COST = 10.0
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+CODE_POINTS = 0x110000  # also stands for the end of a word
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,6 @@ class Codec:
     """Encoder and decoder of one vocabulary in one process."""
 
     vocabulary: Vocabulary
-    cache: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.automaton = ahocorasick.Automaton()
@@ -86,9 +86,28 @@ class Codec:
             self.table[i] = piece.replace(MARK, " ").encode()
         for b, i in enumerate(self.vocabulary.bytes_):
             self.table[i] = bytes([b])
-        self.mark = np.array([self.vocabulary.bytes_[b] for b in MARK.encode()], dtype=np.int32).tobytes()
+        self.byte_ids = np.array(self.vocabulary.bytes_, dtype=np.int32)
+        self.mark = self.byte_ids[list(MARK.encode())].tolist()
         self.is_byte = np.zeros(self.vocabulary.size, dtype=bool)
         self.is_byte[list(self.vocabulary.bytes_)] = True
+        self._make_trie()
+
+    def _make_trie(self) -> None:
+        """The trie of the pieces: node 0 is the root, edge e leads to node e + 1 and is found by (node, character)."""
+        edges: dict[int, int] = {}
+        ends: dict[int, tuple[float, int]] = {}
+        for piece, score, i in self.vocabulary.pieces:
+            node = 0
+            for c in piece:
+                node = edges.setdefault(node * (CODE_POINTS + 1) + ord(c), len(edges) + 1)
+            ends[node] = score, i
+        self.edges = pd.Index(np.fromiter(edges, dtype=np.int64, count=len(edges)))
+        self.node_score, self.node_piece = np.zeros(len(edges) + 1), np.full(len(edges) + 1, -1, dtype=np.int32)
+        self.node_inner = np.zeros(len(edges) + 1, dtype=bool)
+        for node, (score, i) in ends.items():
+            self.node_score[node], self.node_piece[node] = score, i
+        self.node_inner[self.edges.to_numpy() // (CODE_POINTS + 1)] = True
+        self.node_piece[0], self.node_inner[0] = -1, False  # also stands for an edge that was not found
 
     def best_path(self, text: str) -> list[int]:
         """Ids of the segmentation with the greatest sum of scores; of equal ones the one with longer last pieces."""
@@ -119,39 +138,153 @@ class Codec:
             n = begin
         return ids[::-1]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one word as packed 32-bit numbers."""
-        ids = self.cache.get(word)
-        if ids is None:
-            ids = np.array(self.best_path(word), dtype=np.int32).tobytes()
-            if len(word) <= LONGEST_CACHED:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[word] = ids
-        return ids
+    def best_paths(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many short words, longest first, and how many each word has. None is empty or holds a word mark.
+
+        Positions lie row by row: row j holds the j-th position of every word with j characters at least, so
+        a position and the next of its word are as far apart as the row is long.
+        """
+        lengths = pc.utf8_length(words).to_numpy().astype(np.int64)
+        letters = np.frombuffer("".join(words.to_pylist()).replace(" ", MARK).encode("utf-32-le"), dtype=np.uint32)
+        first = np.cumsum(lengths) - lengths
+        longest = int(lengths[0])
+        width = np.searchsorted(-lengths, -np.arange(longest + 2), side="right")
+        row = np.concatenate(([0], np.cumsum(width[:-1])))
+        step = np.repeat(width[:-1], width[:-1])
+        chars = np.full(row[-1], CODE_POINTS, dtype=np.int64)
+        for j in range(longest):
+            chars[row[j] : row[j] + width[j + 1]] = letters[first[: width[j + 1]] + j]
+
+        matches: list[tuple[np.ndarray, ...]] = []  # by length: begin, end, score, id, and the borders of the rows of begins
+        begin = np.flatnonzero(chars < CODE_POINTS)
+        at, node = begin, np.zeros(len(begin), dtype=np.int64)
+        while len(begin):
+            node = self.edges.get_indexer(node * (CODE_POINTS + 1) + chars[at]) + 1
+            score, piece = self.node_score[node], self.node_piece[node]
+            end = at + step[at]
+            if not matches:
+                score = np.where(piece < 0, self.unknown, score)
+                found = slice(None)
+            else:
+                found = np.flatnonzero(piece >= 0)
+            matches.append((begin[found], end[found], score[found], piece[found], np.searchsorted(begin[found], row)))
+            further = np.flatnonzero(self.node_inner[node])
+            begin, at, node = begin[further], end[further], node[further]
+
+        best = np.full(row[-1], -np.inf)
+        best[: width[0]] = 0.0
+        back, taken = np.zeros(row[-1], dtype=np.int64), np.zeros(row[-1], dtype=np.int32)
+        for j in range(longest):
+            for begin, end, score, piece, borders in matches:
+                some = slice(borders[j], borders[j + 1])
+                begin, end = begin[some], end[some]
+                reached = best[begin] + score[some]
+                better = np.flatnonzero(reached > best[end])  # of equal ones the longer piece came first
+                end = end[better]
+                best[end], back[end], taken[end] = reached[better], begin[better], piece[some][better]
+
+        word, at = np.arange(len(words)), row[lengths] + np.arange(len(words))
+        n_steps, steps = np.zeros(len(words), dtype=np.int64), []
+        while len(word):
+            n_steps[word] += 1
+            steps.append((word, taken[at], back[at]))
+            going = np.flatnonzero(back[at] >= width[0])
+            word, at = word[going], back[at][going]
+        last = np.cumsum(n_steps) - 1
+        ids, begins = np.empty(n_steps.sum(), dtype=np.int32), np.empty(n_steps.sum(), dtype=np.int64)
+        for k, (word, piece, begin) in enumerate(steps):
+            ids[last[word] - k], begins[last[word] - k] = piece, begin
+
+        unknown = chars[begins[ids < 0]]
+        size = np.ones(len(ids), dtype=np.int64)
+        size[ids < 0] += (unknown >= 0x80).astype(int) + (unknown >= 0x800) + (unknown >= 0x10000)
+        n_ids = np.diff(np.concatenate(([0], np.cumsum(size)))[last + 1], prepend=0)
+        ids = np.repeat(ids, size)
+        ids[ids < 0] = self.byte_ids[np.frombuffer("".join(map(chr, unknown.tolist())).encode(), dtype=np.uint8)]
+        return ids, n_ids
+
+    def _path(self, word: str) -> np.ndarray:
+        """Ids of any one word. A word mark in the text itself is written as its bytes."""
+        ids: list[int] = []
+        for k, part in enumerate(word.split(MARK)):
+            if k:
+                ids.extend(self.mark)
+            ids.extend(self.best_path(part.replace(" ", MARK)))
+        return np.array(ids, dtype=np.int32)
+
+    def _paths(self, words: pa.StringArray) -> tuple[pa.ListArray, np.ndarray]:
+        """Ids of words that are not empty, in any order, and the place of each word in it."""
+        lengths = pc.utf8_length(words).to_numpy()
+        alone = (lengths > LONGEST_TOGETHER) | pc.match_substring(words, MARK).to_numpy(zero_copy_only=False)
+        order = np.argsort(np.where(alone, 0, -lengths), kind="stable")
+        n_short = len(words) - int(alone.sum())
+        paths = [self.best_paths(words.take(pa.array(order[at : min(at + WORDS_AT_ONCE, n_short)]))) for at in range(0, n_short, WORDS_AT_ONCE)]
+        rest = [self._path(word) for word in words.take(pa.array(order[n_short:])).to_pylist()]
+        ids = np.concatenate([np.empty(0, dtype=np.int32), *(i for i, _ in paths), *rest])
+        sizes = np.concatenate([[0], *(n for _, n in paths), np.array([len(i) for i in rest], dtype=np.int64)])
+        place = np.empty(len(words), dtype=np.int32)
+        place[order] = np.arange(len(words))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(ids)), place
+
+    def _encode_some(self, texts: pa.Array) -> pa.ListArray:
+        spaced = _spaced(texts)
+        borders = _offsets(spaced)
+        letters = np.frombuffer(spaced.buffers()[2] or b"", dtype=np.uint8)[borders[0] : borders[-1]]
+        borders = borders - borders[0]
+        begins = np.zeros(len(letters) + 1, dtype=bool)
+        if self.by_word:  # spaces and what follows up to the next space
+            begins[:-1] = letters == 0x20
+            begins[1:-1] &= letters[:-1] != 0x20
+        begins[borders] = True
+        of_words = np.flatnonzero(begins).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(of_words) - 1, pa.py_buffer(of_words), pa.py_buffer(letters)).dictionary_encode()
+        paths, place = self._paths(words.dictionary)
+        ids = paths.take(pa.array(place[words.indices.to_numpy()]))
+        return pa.ListArray.from_arrays(ids.offsets.take(pa.array(np.searchsorted(of_words, borders))), ids.values)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[pa.ListArray]:
+        """``encode`` of all texts of an Arrow array, in turn: of ``BYTES_AT_ONCE`` bytes, or of one text, at a time."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            room = (sizes[at - 1] if at else 0) + BYTES_AT_ONCE
+            until = max(int(np.searchsorted(sizes, room, side="right")), at + 1)
+            yield self._encode_some(texts.slice(at, until - at))
+            at = until
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text, with a space put before it; none for null and empty texts.
 
         Spaces become the word mark. A word mark in the text itself is written as its bytes.
         """
-        if not text:
-            return np.empty(0, dtype=np.int32)
-        out: list[bytes] = []
-        for k, part in enumerate((" " + text).split(MARK)):
-            if k:
-                out.append(self.mark)
-            marked = part.replace(" ", MARK)
-            out.extend(map(self._word, _WORD.findall(marked) if self.by_word else ([marked] if marked else [])))
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        return self._encode_some(pa.array([text], pa.string())).values.to_numpy()
+
+    def decode_all(self, ids: pa.ListArray) -> pa.LargeBinaryArray:
+        """The bytes of each list of ids from ``encode_all``, with the space that was put before."""
+        pieces = pa.array(self.table, pa.large_binary()).take(ids.values)
+        ends = _offsets(pieces)[_offsets(ids)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), pieces.buffers()[2]])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids from ``encode``; bytes that are no UTF-8 become replacement characters."""
         return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
-    def count_bytes(self, ids: np.ndarray) -> int:
-        """How many of the ids are byte pieces."""
-        return int(self.is_byte[ids].sum())
+    def count_bytes(self, ids: pa.ListArray) -> np.ndarray:
+        """How many ids of each list are byte pieces."""
+        until = np.concatenate(([0], np.cumsum(self.is_byte[ids.values.to_numpy()], dtype=np.int64)))
+        return np.diff(until[_offsets(ids)])
+
+
+def _offsets(array: pa.Array) -> np.ndarray:
+    """Where the values of an array of lists, texts or bytes begin and end."""
+    large = pa.types.is_large_binary(array.type)
+    return np.frombuffer(array.buffers()[1], dtype=np.int64 if large else np.int32)[array.offset : array.offset + len(array) + 1]
+
+
+def _spaced(texts: pa.Array) -> pa.Array:
+    """Each text with a space before it; null and empty texts are empty."""
+    texts = pc.fill_null(texts, "")
+    return pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise("", texts, " "))
 
 
 def _codec(shared) -> Codec:
@@ -178,7 +311,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id",
 
     ``round_trip`` tells that decoding gives the text again. Null text counts as empty: no pieces.
     Repeated rows get a row each; only the named columns are read. A task holds the ids of
-    ``ROWS_AT_ONCE`` texts at a time.
+    ``BYTES_AT_ONCE`` bytes of text, or of one text, at a time.
     """
     shared = _Shared(docs.sparkSession, vocabulary)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -187,16 +320,13 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                texts = part.column("text").to_pylist()
-                ids = [codec.encode(text) for text in texts]
-                n_pieces = np.array([len(i) for i in ids], dtype=np.int64)
-                ends = np.concatenate(([0], np.cumsum(n_pieces))).astype(np.int32)
-                n_bytes = np.array([codec.count_bytes(i) for i in ids], dtype=np.int64)
-                same = [codec.decode(i) == (text or "") for i, text in zip(ids, texts)]
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_pieces), lists, pa.array(n_bytes), pa.array(same)], names)
+            texts, at = batch.column("text").cast(pa.string()), 0
+            for ids in codec.encode_all(texts):
+                part = slice(at, at + len(ids))
+                same = pc.equal(codec.decode_all(ids), _spaced(texts[part]).cast(pa.large_binary()))
+                n_pieces = np.diff(_offsets(ids)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], pa.array(n_pieces), ids, pa.array(codec.count_bytes(ids)), same], names)
+                at = part.stop
 
     types = [rows.schema["doc_id"].dataType, LongType(), ArrayType(IntegerType()), LongType(), BooleanType()]
     return rows.mapInArrow(encode, StructType([StructField(n, t) for n, t in zip(names, types)]))

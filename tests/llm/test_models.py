@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,40 @@ def test_pieces_are_the_best_path_and_round_trip():
         assert sum(score[i] for i in codec.encode(plain).tolist()) == pytest.approx(brute_best(codec, marked))
 
 
+def word_by_word(codec, text):
+    """Ids of a text, each word by a pass of its own."""
+    ids = []
+    for k, part in enumerate((" " + text).split(pieces.MARK) if text else []):
+        marked = part.replace(" ", pieces.MARK)
+        words = re.findall("▁*[^▁]+|▁+", marked) if codec.by_word else [marked]
+        ids += (codec.mark if k else []) + [i for w in words for i in codec.best_path(w)]
+    return ids
+
+
+@pytest.mark.parametrize("extra", [(), (("b▁a", -2.9, 266),)])  # with the second, words are not apart
+def test_distinct_short_words_are_encoded_together(extra, monkeypatch):
+    codec, rng = pieces.Codec(pieces.Vocabulary(VOCABULARY.pieces + extra, VOCABULARY.bytes_)), random.Random(6)
+    monkeypatch.setattr(pieces, "WORDS_AT_ONCE", 50)
+    monkeypatch.setattr(pieces, "BYTES_AT_ONCE", 900)
+    texts = [None, "", " ", "▁", "ab" * 400, "   ", ""] + ["".join(rng.choice("aaabb   \né▁日🙂\0") for _ in range(rng.randrange(60))) for _ in range(300)] + [None]
+    expected = [word_by_word(codec, t) for t in texts]
+    lists = list(codec.encode_all(pa.array(["x", *texts], pa.string()).slice(1)))
+    assert len(lists) > 5 and [i for some in lists for i in some.to_pylist()] == expected
+    assert [codec.encode(t).tolist() for t in texts] == expected
+    assert [b.decode()[1:] for some in lists for b in codec.decode_all(some).to_pylist()] == [t or "" for t in texts]
+    assert [n for some in lists for n in codec.count_bytes(some).tolist()] == [sum(10 <= i < 266 for i in e) for e in expected]
+
+
+def test_best_path_is_left_to_long_words(monkeypatch):
+    codec, seen = pieces.Codec(VOCABULARY), []
+    one = codec.best_path
+    words = ["".join(w) for w in product("abé", repeat=6)]
+    expected = [i for w in words for i in one("▁" + w)]
+    monkeypatch.setattr(pieces.Codec, "best_path", lambda self, text: seen.append(text) or one(text))
+    assert codec.encode(" ".join(words)).tolist() == expected and not seen
+    assert codec.encode("ab " + "a" * 50).tolist() == one("▁ab") + one("▁" + "a" * 50) and len(seen) == 1
+
+
 def test_pieces_on_documents(spark):
     path = "/opt/tokenizers/piece_bpe_32k.model"
     if not os.path.exists(path):
