@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 MARK = "▁"
 LONGEST_TOGETHER = 40
 WORDS_AT_ONCE = 16_384
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 1_000_000
 UNKNOWN_COST = 10.0
 CODE_POINTS = 0x110000  # also stands for the end of a word
 
