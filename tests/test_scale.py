@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks import streams
+from checks import load, streams
 from checks.documents import requests_for_all, stored_documents
 from stockloom.operators import hierarchy
 from stockloom.plans import quality, search
@@ -70,6 +70,28 @@ def test_names_are_linked_by_class(spark):
     ]
 
 
+def test_every_query_stands_beside_every_copy_of_a_similar_name(spark, tmp_path):
+    names = {k: ("red widget", "red widgets", "blue bolt", "steel")[k % 4] for k in range(1, 13)}
+    parts = [(k, name, "Brand#11", "ECONOMY", 1) for k, name in names.items()]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k,) for k in range(1, 8)], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = load().QUERIES["f14_similar_names"](spark, str(tmp_path)).collect()
+    asked = {-k: ("smal ring", "red widgets", "blue bolt")[k % 3] for k in range(1, 8)}
+    close = {("red widgets", "red widget"), ("red widgets", "red widgets"), ("blue bolt", "blue bolt")}
+    want = [(q, k, name) for q, text in asked.items() for k, name in names.items() if (text, name) in close]
+    assert sorted((r["query_id"], r["id"], r["name"]) for r in rows) == sorted(want)
+
+
+def test_equal_queries_are_compared_once_and_keep_their_rows(spark):
+    names = spark.createDataFrame([(1, "super widget"), (2, "super widget"), (2, "super widget"), (None, "blue bolt"), (4, None)], "id int, name string")
+    asked = [(1, "super widgets"), (1, "super widgets"), (1, "blue bolts"), (2, "super widgets"), (None, "super widgets"), (3, None)]
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    found = search.similar_names(names, queries, 0.5)
+    assert sorted((r["query_id"], r["id"] or 0) for r in found.collect()) == [(1, 0), (1, 1), (1, 1), (1, 2), (1, 2), (1, 2), (1, 2), (2, 1), (2, 2), (2, 2)]
+    distinct, texts, _ = search.name_candidates(names, queries.select(F.col("query").alias("query_id"), "query").distinct(), 0.5)
+    assert texts.count() == 3 and distinct.count() == 3
+
+
 def test_finished_paths_are_written_once(spark, monkeypatch):
     written, write = [], hierarchy.staged
     monkeypatch.setattr(hierarchy, "staged", lambda df, label: written.append(write(df, label)) or written[-1])
