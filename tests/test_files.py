@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockloom import session
-from stockloom.plans.jobs import picking
+from stockloom.plans.jobs import fulfil, picking
 from stockloom.session import release, staged
 from stockloom.sources.fixtures import with_text_ids
 from stockloom.sources.tables import tables_from_rows
+from tests import seed
 
 
 @pytest.fixture
@@ -70,3 +71,21 @@ def test_pick_items_are_found_once(spark, run_ts, monkeypatch):
     items = done.inserts["pick_item"]
     assert "LeftSemi" not in plan(items)
     assert sorted((r["picklist_id"], r["reservation_id"]) for r in items.collect()) == [("P1", "r1"), ("P2", "r2")]  # P9 names an order that there is not
+
+
+def test_spent_steps_of_an_order_are_gone_before_picking(spark, run_ts, monkeypatch):
+    left, create = [], fulfil.create_picklists
+
+    def picklists(*given):
+        for _ in range(3):
+            gc.collect()
+            time.sleep(0.3)
+            release(spark, 0)
+        left.extend(p.rpartition("/")[2][:-33] for p in session._FOLDERS)
+        return create(*given)
+
+    monkeypatch.setattr(fulfil, "create_picklists", picklists)
+    orders, lines = seed.make(spark, seed.ORDER_SCHEMA, [seed.order("o1", 1)]), seed.make(spark, seed.LINE_SCHEMA, [seed.line("l1", "o1", 10)])
+    done = fulfil.fulfil_orders(seed.tables(spark), orders, lines, run_ts)
+    assert done.outcome.count() == 1 and "sales-order" in left
+    assert not {"entered-sales_order", "entered-sales_order_line", "wanted", "judged", "limits"} & set(left)
